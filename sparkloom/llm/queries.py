@@ -6,8 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe_tree import encode_decode
 from .common import read
 from .exact_dedup import exact_dedup
+from .simhash import near_duplicates
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +31,9 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_simhash": op7_simhash,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_bpe": op10_bpe,
 }
 
 SQL: dict[str, str] = {
