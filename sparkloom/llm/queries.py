@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_tree import encode_decode
 from .common import read
 from .exact_dedup import exact_dedup
+from .packing import pack
 from .simhash import near_duplicates
+from .token_files import token_ids
 
 
 def vocabulary(name: str) -> str:
@@ -18,6 +20,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -31,6 +41,8 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
+    "op6_token_ids": op6_token_ids,
     "op7_simhash": op7_simhash,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_bpe": op10_bpe,
