@@ -10,8 +10,10 @@ from .bpe_tree import encode_decode
 from .common import read
 from .exact_dedup import exact_dedup
 from .packing import pack
+from .pii import pii
 from .simhash import near_duplicates
 from .token_files import token_ids
+from .toxicity import toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -24,6 +26,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii(read(spark, sf_dir, "documents"))
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -42,6 +52,8 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op4_toxicity": op4_toxicity,
+    "op5_pii": op5_pii,
     "op6_token_ids": op6_token_ids,
     "op7_simhash": op7_simhash,
     "op8_exact_dedup": op8_exact_dedup,
