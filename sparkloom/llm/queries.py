@@ -11,6 +11,7 @@ from .common import read
 from .exact_dedup import exact_dedup
 from .packing import pack
 from .pii import pii
+from .quality import quality
 from .simhash import near_duplicates
 from .token_files import token_ids
 from .toxicity import toxicity
@@ -22,6 +23,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -51,6 +56,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_packing": op2_packing,
     "op4_toxicity": op4_toxicity,
     "op5_pii": op5_pii,
