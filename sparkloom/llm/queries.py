@@ -12,6 +12,8 @@ from .exact_dedup import exact_dedup
 from .packing import pack
 from .pii import pii
 from .quality import quality
+from .secrets import find_secrets
+from .sharding import shard_documents
 from .simhash import near_duplicates
 from .token_files import token_ids
 from .toxicity import toxicity
@@ -31,6 +33,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(read(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -47,6 +53,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(read(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -58,11 +68,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
+    "op3_sharding": op3_sharding,
     "op4_toxicity": op4_toxicity,
     "op5_pii": op5_pii,
     "op6_token_ids": op6_token_ids,
     "op7_simhash": op7_simhash,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_secrets": op9_secrets,
     "op10_bpe": op10_bpe,
 }
 
