@@ -1 +1,6 @@
-"""Part of sparkloom."""
+"""The registered queries of the engine's own operators, and their SQL."""
+
+from . import relational, search
+
+QUERIES = {**relational.QUERIES, **search.QUERIES}
+SQL = {**relational.SQL, **search.SQL}
