@@ -71,12 +71,16 @@ def bm25(df: DataFrame, id_col: str, text: str, query: str, average: float | Non
     size = F.size("_t").cast("double")
     score = F.lit(0.0)
     for term in terms:
-        whole = F.size(F.filter("_t", lambda w, t=term: w == t)).cast("double")
+        whole = F.size(F.filter("_t", _equals(term))).cast("double")
         tf = F.when(whole > 0, whole).when(F.contains("_low", F.lit(term)), F.lit(PARTIAL)).otherwise(F.lit(0.0))
         score = score + F.when(tf > 0, tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / average))).otherwise(F.lit(0.0))
     return d.select(id_col, score.alias("score")).where("score > 0")
 
 
+def _equals(term: str):
+    return lambda w: w == term
+
+
 def _query_tokens(query: str) -> list[str]:
     import re
 
