@@ -3,8 +3,9 @@
 A fingerprint of 64 bits has segments A (23 bits), B (23) and C (18). The binary Golay code
 decodes any 23 bits to one codeword within 3 errors. A segment's keys are the codewords of
 itself and of its 23 one-bit neighbours: segments one bit apart share a key. Fingerprints at
-most 2 bits apart spread these errors over three segments, so one of five keys is shared:
-(A~, B~, C), (A~, B), (A, B~), (B, C), (A, C), with ~ for a Golay key. Fingerprints that
+most 2 bits apart spread these errors over three segments, so one of six keys is shared:
+(A~, B), (A, B~), (B, C), (A, C), and, for an error in A and one in either half of B,
+(A~, B low, C), (A~, B high, C), with ~ for a Golay key. Fingerprints that
 share a key with another are candidates. Candidates are verified without forming pairs:
 two fingerprints are at most 2 bits apart exactly if they share a point at most 1 bit from
 both, and a point has at most 65 fingerprints. These links' components are the groups.
@@ -96,10 +97,8 @@ def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rb, kb = golay_keys(b)
     own = np.arange(len(fp))
     kinds = [(ra, ka << 23 | b[ra]), (rb, kb << 23 | a[rb]), (own, b << 18 | c), (own, a << 18 | c)]
-    n_b, from_b = np.bincount(rb, minlength=len(fp)), np.searchsorted(rb, own)
-    row = np.repeat(ra, n_b[ra])
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(n_b[ra]) - n_b[ra], n_b[ra])
-    kinds.append((row, np.repeat(ka, n_b[ra]) << 30 | kb[from_b[row] + nth] << 18 | c[row]))
+    low, high = b & 0x7FF, b >> 11
+    kinds += [(ra, (ka << 11 | low[ra]) << 18 | c[ra]), (ra, (ka << 12 | high[ra]) << 18 | c[ra])]
     return np.concatenate([r for r, _ in kinds]), np.concatenate([k | i << 60 for i, (_, k) in enumerate(kinds)])
 
 
@@ -123,7 +122,7 @@ def candidates(points: DataFrame) -> DataFrame:
             yield pd.DataFrame({"key": key, "fp": fp[row]})
 
     keyed = points.mapInPandas(run, "key long, fp long")
-    met = keyed.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo != hi").select("key")
+    met = keyed.groupBy("key").count().where("count > 1").select("key")  # a fingerprint has a key once
     return keyed.join(met, "key").select("fp").distinct()
 
 
