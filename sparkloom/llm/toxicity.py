@@ -44,7 +44,7 @@ HELD_OUT_FOLD, FOLDS = 2, 4
 THRESHOLD = 0.3
 #: Bounds of what training gathers: candidates, documents to cover, negatives, documents of the curve.
 MAX_CANDIDATES, MAX_TOXIC, MAX_NEGATIVES, MAX_CURVE = 3000, 6000, 5000, 8000
-LANDMARKS = 96
+LANDMARKS = 256
 ROUNDS = 2
 FLOOR = -3.0
 STEM = 5
@@ -157,7 +157,13 @@ def subsequences(unit: str) -> np.ndarray:
 
 
 def kernel_matrix(units: list[str], landmarks: list[str]) -> np.ndarray:
-    return np.stack([kernel_column(units, subsequences(x)) for x in landmarks], axis=1)
+    tables = [subsequences(x) for x in landmarks]
+    out = np.zeros((len(units), len(landmarks)))
+    for at, codes in by_size(units):
+        length = np.sqrt(np.maximum(own_kernel(codes), 1e-12))
+        for j, table in enumerate(tables):
+            out[at, j] = triple_sums(codes, table) / length
+    return out
 
 
 def gapped(unit: str) -> list[str]:
@@ -214,25 +220,25 @@ def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1
 
 
 def fit_units(positive: list[str], negative: list[str]) -> Model:
-    """Nystrom landmarks: positives and negatives, each picked farthest from those before it."""
+    """Fit on Nystrom landmarks: of each side the first, which explain or mislead most, then those farthest from the ones before; both sides weigh alike."""
     spread = sorted({g for p in positive for g in gapped(p)} - set(positive) - set(negative))
     units = [*positive, *spread, *negative]
     landmarks: list[str] = []
-    for pool, most in ((positive, LANDMARKS * 3 // 4), (negative, LANDMARKS // 4)):
+    for pool, first, most in ((positive, LANDMARKS // 4, LANDMARKS // 2), (negative, LANDMARKS // 4, LANDMARKS // 2)):
         near = np.zeros(len(pool))
-        at = 0
-        for _ in range(min(most, len(pool))):
+        for i in range(min(most, len(pool))):
+            at = i if i < first else int(np.argmin(near))
+            if near[at] > 0.95:
+                continue
             landmarks.append(pool[at])
             near = np.maximum(near, kernel_column(pool, subsequences(pool[at])))
-            at = int(np.argmin(near))
-            if near[at] > 0.95:
-                break
     among = kernel_matrix(landmarks, landmarks)
     value, vector = np.linalg.eigh(among)
     root = vector @ np.diag(np.where(value > 1e-8, 1 / np.sqrt(np.maximum(value, 1e-8)), 0)) @ vector.T
     x = kernel_matrix(units, landmarks) @ root
     y = np.array([1.0] * (len(positive) + len(spread)) + [-1.0] * len(negative))
-    share = np.array([1.0] * len(positive) + [0.5] * len(spread) + [1.0] * len(negative))
+    even = max(1.0, len(negative) / (len(positive) + 0.5 * len(spread)))
+    share = np.array([even] * len(positive) + [even / 2] * len(spread) + [1.0] * len(negative))
     w = fit_svm(x, y, share)
     beta = root @ w[:-1]
     return Model(sum(b * subsequences(u) for b, u in zip(beta, landmarks)), float(w[-1]))
@@ -325,7 +331,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         new = sorted(set(hard).difference(negative))
         if not new:
             break
-        negative += new
+        negative = new + negative
         model = fit_units(positive, negative)
     sample = score(rows.where(part(MAX_CURVE, n_pos + n_neg)), model, ["toxic"]).select("highest", "toxic").collect()
     model.curve = fit_curve(np.array([r["highest"] for r in sample]), np.array([r["toxic"] for r in sample], float))
