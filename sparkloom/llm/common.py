@@ -86,3 +86,19 @@ def arrow_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def id_and_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that Python gets, the text as UTF-8 bytes."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+
+
+#: Ids that may be broadcast: 8 bytes each.
+MAX_BROADCAST_IDS = 500_000
+
+
+def drop_ids(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """docs without the ids that are decided (doc_id, kept) to go; an id stays if any of its rows does.
+
+    The ids that go are counted: up to MAX_BROADCAST_IDS are broadcast, so that texts are not
+    shuffled; more of them meet the documents by a shuffled join.
+    """
+    gone = stage(decided.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select(F.col("doc_id").alias("_gone")), "gone")
+    if gone.count() <= MAX_BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")

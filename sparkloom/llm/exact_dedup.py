@@ -13,14 +13,12 @@ an empty table gives no rows; columns beside id and text are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import drop_ids, stage
 
 #: Digests in a bucket of the index: about a megabyte.
 BUCKET_DIGESTS = 20_000
@@ -166,5 +164,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their columns."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    return drop_ids(docs, exact_dedup(docs).select("doc_id", "kept"))

@@ -17,10 +17,10 @@ empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +29,8 @@ from .common import arrow_rows, small_batches, stage
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, SUPPORT, CONFIDENCE = 3, 5, 0.9
+#: Sure patterns that may be sent to the tasks.
+MAX_PATTERNS = 100_000
 LEFT = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -226,17 +228,51 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 def mask(docs: DataFrame) -> DataFrame:
     """The documents with personal data replaced, n_chars counted anew where there is one; other columns as they were.
 
-    docs is staged with a row key, so that spans meet their own row even where ids repeat.
+    The sure patterns are counted: up to MAX_PATTERNS go to the tasks, which find and mask spans row
+    by row; with more of them, spans are found by joins and meet their rows by a staged row key.
     """
+    found = stage(extracted(docs, "doc_id", "text").select("mentions"), "mentions")
+    accepted = sure_patterns(found.select(F.inline("mentions")))
+    return masked_rows(docs, accepted) if accepted.count() <= MAX_PATTERNS else masked_by_join(docs)
+
+
+def all_spans(text: str, kinds: dict[str, set[str]]) -> list[tuple[str, int, int]]:
+    """Base spans and those that sure patterns add: mentions all of whose sure patterns agree on a kind."""
+    base = base_spans(text)
+    added = []
+    for m in mentions_of(text, base) if kinds else ():
+        agreed = set().union(*(kinds.get(p, ()) for p in m["patterns"])) if m["kind"] is None else ()
+        if len(agreed) == 1:
+            added.append((next(iter(agreed)), m["start"], m["end"]))
+    return sorted(base + added, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+
+
+def with_text(docs: DataFrame, text: F.Column) -> DataFrame:
+    out = docs.withColumn("text", text)
+    return out.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
+
+
+def masked_rows(docs: DataFrame, accepted: DataFrame) -> DataFrame:
+    kinds: dict[str, set[str]] = {}
+    for r in accepted.collect():
+        kinds.setdefault(r["pattern"], set()).add(r["kind"])
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("string")
+    def replaced(text: pd.Series) -> pd.Series:
+        return pd.Series([masked(t, all_spans(t, kinds)) for t in text], dtype=object)
+
+    marked = F.col("text").rlike("[0-9@]")  # no span is without one
+    return with_text(docs, F.when(marked, replaced(F.when(marked, F.col("text")).otherwise(""))).otherwise(F.col("text")))
+
+
+def masked_by_join(docs: DataFrame) -> DataFrame:
     keyed = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "unmasked")
-    spans = find_pii(keyed.select(F.col("_row"), "text"), id_col="_row").where(F.size("spans") > 0).select(F.col("doc_id").alias("_row"), F.col("spans").alias("_spans"))
+    spans = find_pii(keyed.select("_row", "text"), id_col="_row").where(F.size("spans") > 0).select(F.col("doc_id").alias("_row"), F.col("spans").alias("_spans"))
 
     @F.pandas_udf("string")
-    def replaced(text, found):
-        return text.combine(found, lambda t, s: t if t is None or s is None else masked(t, [(x["kind"], x["start"], x["end"]) for x in s]))
+    def replaced(text: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or s is None else masked(t, [(x["kind"], x["start"], x["end"]) for x in s]) for t, s in zip(text, found)], dtype=object)
 
     hit = keyed.join(spans, "_row", "left")
-    changed = hit.where(F.col("_spans").isNotNull()).withColumn("text", replaced("text", "_spans"))
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return hit.where(F.col("_spans").isNull()).unionByName(changed).select(*docs.columns)
+    return with_text(hit, replaced("text", "_spans")).select(*docs.columns)

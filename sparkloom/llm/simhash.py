@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, id_and_bytes, small_batches, stage, texts_of
+from .common import arrow_rows, drop_ids, id_and_bytes, small_batches, stage, texts_of
 from .components import components
 
 SEED = 42
@@ -148,5 +148,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The document with the smallest id of each group, with its columns."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    return drop_ids(docs, near_duplicates(docs).select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))

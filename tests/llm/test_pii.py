@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from sparkloom.llm.pii import base_spans, mask, masked, pii
+from sparkloom.llm.pii import base_spans, mask, masked, masked_by_join, pii
 
 
 def plain(text):
@@ -45,6 +45,7 @@ def test_unseen_identifiers(spark, docs):
         assert set(filter(None, base.split(","))) <= set(got[i]["spans"].split(","))
     out = {r["doc_id"]: r for r in mask(docs(texts)).collect()}
     assert out[0]["text"] == "please write account: <email> soon" and out[20]["text"] == "please write account: <email> soon"
+    assert {i: r["text"] for i, r in out.items()} == {r["doc_id"]: r["text"] for r in masked_by_join(docs(texts)).collect()}
     assert out[22]["text"] is None and out[21]["text"] == texts[21] and out[24]["n_chars"] == len("same <ip>")
 
 
