@@ -17,8 +17,8 @@ A logistic curve over at most about MAX_CURVE training documents turns a documen
 unit into its score.
 
 Defined results: a null or empty text, or one without units, has the lowest unit value; null
-labels and null ids are not trained on, a null id is not held out; without any toxic training
-row every score is 0; repeated rows each get a row; other columns are ignored.
+labels and null ids are not trained on, a null id is not held out; without rows of
+both labels, or without a unit that marks toxic ones, no document is predicted toxic; repeated rows each get a row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -273,6 +273,12 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
+def nothing_learned(n_pos: int, n_neg: int) -> Model:
+    """One score for all: the share of toxic training rows, but never enough to reject a document."""
+    p = min(max(n_pos / max(1, n_pos + n_neg), 1e-6), THRESHOLD / 2)
+    return Model(np.zeros(CODES**3 + 1), FLOOR, (0.0, float(np.log(p / (1 - p)))))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """docs: doc_id and text; labels: doc_id and toxic."""
     spark = docs.sparkSession
@@ -283,7 +289,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     total = dict(rows.groupBy("toxic").count().collect())
     n_pos, n_neg = total.get(1, 0), total.get(0, 0)
     if not n_pos or not n_neg:
-        return Model(np.zeros(CODES**3 + 1), FLOOR, (0.0, -30.0 if not n_pos else 30.0))
+        return nothing_learned(n_pos, n_neg)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow_rows(batches):
@@ -317,7 +323,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     seen = set(positive)
     positive += [r["unit"] for r in inflected.orderBy(F.desc("pos"), "unit").limit(MAX_CANDIDATES // 4).collect() if r["unit"] not in seen]
     if not positive:
-        return Model(np.zeros(CODES**3 + 1), FLOOR, (0.0, float(np.log(n_pos / n_neg))))
+        return nothing_learned(n_pos, n_neg)
     clean = counts.where((F.col("neg") > 0) & ~F.col("unit").isin(positive) & ~F.col("unit").endswith("~")).where(ratio < 4)
     negative = [r["unit"] for r in clean.orderBy(F.xxhash64("unit"), "unit").limit(MAX_NEGATIVES).select("unit").collect()]
     model = fit_units(positive, negative)
