@@ -1,6 +1,6 @@
 """The registered queries of the engine's own operators, and their SQL."""
 
-from . import relational, search
+from . import extra, relational, search
 
-QUERIES = {**relational.QUERIES, **search.QUERIES}
-SQL = {**relational.SQL, **search.SQL}
+QUERIES = {**relational.QUERIES, **search.QUERIES, **extra.QUERIES}
+SQL = {**relational.SQL, **search.SQL, **extra.SQL}
