@@ -44,7 +44,9 @@ CODES = 64
 HELD_OUT_FOLD, FOLDS = 2, 4
 THRESHOLD = 0.3
 #: Bounds of what training gathers: candidates, documents to cover, negatives, documents of the curve.
-MAX_CANDIDATES, MAX_TOXIC, MAX_NEGATIVES, MAX_CURVE = 3000, 6000, 5000, 8000
+MAX_CANDIDATES, MAX_TOXIC, MAX_NEGATIVES, MAX_CURVE = 3000, 6000, 3000, 8000
+#: Positives that are also shown with gaps, and inflected forms taken from stems.
+MAX_GAPPED, MAX_INFLECTED = 60, 300
 LANDMARKS = 256
 ROUNDS = 2
 FLOOR = -3.0
@@ -157,14 +159,22 @@ def subsequences(unit: str) -> np.ndarray:
     return table / max(np.sqrt((table**2).sum()), 1e-12)
 
 
-def kernel_matrix(units: list[str], landmarks: list[str]) -> np.ndarray:
-    tables = [subsequences(x) for x in landmarks]
-    out = np.zeros((len(units), len(landmarks)))
-    for at, codes in by_size(units):
-        length = np.sqrt(np.maximum(own_kernel(codes), 1e-12))
-        for j, table in enumerate(tables):
-            out[at, j] = triple_sums(codes, table) / length
-    return out
+class Prepared:
+    """Units with the places of their triples and their lengths, for kernels with many landmarks."""
+
+    def __init__(self, units: list[str]):
+        self.n, self.parts = len(units), []
+        for at, codes in by_size(units):
+            i, j, k, decay = triples(codes.shape[1])
+            places = ((codes[:, i] * CODES + codes[:, j]) * CODES + codes[:, k]).astype(np.int32)
+            places[codes[:, k] < 0] = CODES**3
+            self.parts.append((at, places, decay, np.sqrt(np.maximum(own_kernel(codes), 1e-12))))
+
+    def column(self, landmark: str) -> np.ndarray:
+        table, out = subsequences(landmark), np.zeros(self.n)
+        for at, places, decay, length in self.parts:
+            out[at] = table[places] @ decay / length
+        return out
 
 
 def gapped(unit: str) -> list[str]:
@@ -222,21 +232,27 @@ def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1
 
 def fit_units(positive: list[str], negative: list[str]) -> Model:
     """Fit on Nystrom landmarks: of each side the first, which explain or mislead most, then those farthest from the ones before; both sides weigh alike."""
-    spread = sorted({g for p in positive for g in gapped(p)} - set(positive) - set(negative))
+    spread = sorted({g for p in positive[:MAX_GAPPED] for g in gapped(p)} - set(positive) - set(negative))
     units = [*positive, *spread, *negative]
+    rows = Prepared(units)
     landmarks: list[str] = []
-    for pool, first, most in ((positive, LANDMARKS // 4, LANDMARKS // 2), (negative, LANDMARKS // 4, LANDMARKS // 2)):
+    columns: list[np.ndarray] = []
+    for pool, lo in ((positive, 0), (negative, len(units) - len(negative))):
         near = np.zeros(len(pool))
-        for i in range(min(most, len(pool))):
-            at = i if i < first else int(np.argmin(near))
+        for i in range(min(LANDMARKS // 2, len(pool))):
+            at = i if i < LANDMARKS // 4 else int(np.argmin(near))
             if near[at] > 0.95:
                 continue
             landmarks.append(pool[at])
-            near = np.maximum(near, kernel_column(pool, subsequences(pool[at])))
-    among = kernel_matrix(landmarks, landmarks)
+            columns.append(rows.column(pool[at]))
+            near = np.maximum(near, columns[-1][lo : lo + len(pool)])
+    kernel = np.stack(columns, axis=1)
+    of = {u: i for i, u in enumerate(units)}
+    among = kernel[[of[u] for u in landmarks]]
+    among = (among + among.T) / 2
     value, vector = np.linalg.eigh(among)
     root = vector @ np.diag(np.where(value > 1e-8, 1 / np.sqrt(np.maximum(value, 1e-8)), 0)) @ vector.T
-    x = kernel_matrix(units, landmarks) @ root
+    x = kernel @ root
     y = np.array([1.0] * (len(positive) + len(spread)) + [-1.0] * len(negative))
     even = max(1.0, len(negative) / (len(positive) + 0.5 * len(spread)))
     share = np.array([even] * len(positive) + [even / 2] * len(spread) + [1.0] * len(negative))
@@ -321,7 +337,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     positive = [u for u in picked if not u.endswith("~")]
     inflected = counts.where(F.substring("unit", 1, STEM).isin(stems) & (ratio >= 4) & ~F.col("unit").endswith("~"))
     seen = set(positive)
-    positive += [r["unit"] for r in inflected.orderBy(F.desc("pos"), "unit").limit(MAX_CANDIDATES // 4).collect() if r["unit"] not in seen]
+    positive += [r["unit"] for r in inflected.orderBy(F.desc("pos"), "unit").limit(MAX_INFLECTED).collect() if r["unit"] not in seen]
     if not positive:
         return nothing_learned(n_pos, n_neg)
     clean = counts.where((F.col("neg") > 0) & ~F.col("unit").isin(positive) & ~F.col("unit").endswith("~")).where(ratio < 4)
@@ -334,7 +350,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             for b in batches:
                 yield pa.RecordBatch.from_arrays([b.column("unit"), pa.array(now.units(b.column("unit").to_pylist()))], names=["unit", "value"])
 
-        hard = [r["unit"] for r in clean.select("unit").mapInArrow(like, "unit string, value double").where("value > -0.9").orderBy(F.desc("value"), "unit").limit(MAX_NEGATIVES // 5).collect()]
+        hard = [r["unit"] for r in clean.select("unit").mapInArrow(like, "unit string, value double").where("value > -0.9").orderBy(F.desc("value"), "unit").limit(MAX_NEGATIVES // 4).collect()]
         new = sorted(set(hard).difference(negative))
         if not new:
             break
