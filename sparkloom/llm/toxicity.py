@@ -8,11 +8,11 @@ Nystrom landmarks give the feature map, and a squared-hinge SVM is fit on it. As
 an inner product over explicit subsequences, the fitted function is one table of weights by
 subsequence, and scoring a unit is a sum over its triples: exactly the kernel expansion.
 
-Training: labels belong to documents. All labelled rows of the training folds are counted:
-documents with each unit, by label. Units that mark toxic documents by log-likelihood ratio are
-candidates, whole or as a stem of STEM characters; a greedy cover of at most MAX_TOXIC toxic documents picks those that explain them,
-so that words which merely stand in copies of a toxic document are left out. Negatives are units
-of clean documents: a bounded draw by hash and, in ROUNDS, those the last model liked most.
+Training: labels belong to documents. The labelled rows of the training folds, at most
+MAX_LABELLED of them, are counted: documents with each unit, by label. Units that mark toxic
+documents by log-likelihood ratio are candidates, whole or as a stem of STEM characters; a greedy
+cover of at most MAX_TOXIC toxic documents picks those that explain them, so that words which
+merely stand in copies of a toxic document are left out. Negatives are units of clean documents: a bounded draw by hash and, in ROUNDS, those the last model liked most.
 A logistic curve over at most about MAX_CURVE training documents turns a document's highest
 unit into its score.
 
@@ -45,6 +45,8 @@ HELD_OUT_FOLD, FOLDS = 2, 4
 THRESHOLD = 0.3
 #: Bounds of what training gathers: candidates, documents to cover, negatives, documents of the curve.
 MAX_CANDIDATES, MAX_TOXIC, MAX_NEGATIVES, MAX_CURVE = 3000, 6000, 3000, 8000
+#: Labelled rows that are trained on, at most, the lowest ids by hash: a bounded table, which may be broadcast.
+MAX_LABELLED = 100_000
 #: Positives that are also shown with gaps, and inflected forms taken from stems.
 MAX_GAPPED, MAX_INFLECTED = 60, 300
 LANDMARKS = 256
@@ -301,6 +303,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     small_batches(spark)
     fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & (fold != HELD_OUT_FOLD)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marked = F.broadcast(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED))
     rows = stage(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(marked, "doc_id"), "labelled")
     total = dict(rows.groupBy("toxic").count().collect())
     n_pos, n_neg = total.get(1, 0), total.get(0, 0)
