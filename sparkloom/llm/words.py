@@ -3,14 +3,13 @@
 A text's pretokens never cross the place before a single space between two
 non-space characters, so a text splits there into chunks whose ids do not
 depend on what stands beside them. Chunks repeat, so their ids are kept
-(up to a bound) as bytes, and a text's ids are the join of its chunks' ids.
+as bytes in two generations of bounded size, and a text's ids are the join of its chunks' ids.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import chain
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
@@ -19,11 +18,11 @@ os.environ.setdefault("RAYON_NUM_THREADS", "1")
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 ODD_SPACE = re.compile("[\\x1c-\\x1f]")
-EDGE = re.compile(f"^[{SPACE}]|[{SPACE}]$")
 #: Letters whose class no Unicode version disputes: a run of them is one pretoken.
 LETTERS = re.compile("[A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u012f\\u0131-\\u017f]+")
 STOPPED = re.compile("([A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u012f\\u0131-\\u017f]+)([.,!])")
-CACHE_CHUNKS = 500_000
+#: Chunks of a generation; the older one goes when the younger is full.
+CACHE_CHUNKS = 400_000
 LONG_CHUNK = 64
 
 
@@ -34,6 +33,33 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Odd(Exception):
+    """A chunk that white space makes depend on what stands beside it."""
+
+
+class Chunks(dict):
+    """Ids by chunk: what lead and the chunk encode to. An unknown chunk is encoded when it is asked for."""
+
+    def __init__(self, of: ChunkEncoder, lead: str, old: dict[str, bytes]):
+        super().__init__()
+        self.of, self.lead, self.old = of, lead, old
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            if LETTERS.fullmatch(chunk):
+                ids = self.of.word(self.lead + chunk)
+            elif m := STOPPED.fullmatch(chunk):
+                ids = self[m[1]] + self.of.mark(m[2])
+            elif chunk.split() != [chunk]:
+                return self.of.lines(self, chunk)
+            else:
+                ids = self.of.direct(self.lead + chunk)
+        if len(chunk) <= LONG_CHUNK:
+            self[chunk] = ids
+        return ids
+
+
 class ChunkEncoder:
     """Ids of texts as little-endian unsigned 16-bit bytes; equal to the tokenizer's own encode(..., add_special_tokens=False)."""
 
@@ -48,137 +74,69 @@ class ChunkEncoder:
         self.model = self.tok.model
         self.map = byte_alphabet()
         self.two = [i.to_bytes(2, "little") for i in range(self.tok.get_vocab_size())]
-        self.kept: dict[str, bytes] = {}  # chunk after a space
-        self.first: dict[str, bytes] = {}  # chunk after nothing or a line end
-        self.memo: dict[str, bytes] = {}
-
-    def direct(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for e in self.tok.encode_batch(texts, add_special_tokens=False):
-            out.append(b"".join([self.two[i] for i in e.ids]))
-        return out
+        self.marks: dict[str, bytes] = {}
+        self.after = Chunks(self, "" if self.lower else " ", {})  # after a space
+        self.alone = Chunks(self, "", {})  # after nothing or other white space
+
+    def direct(self, text: str) -> bytes:
+        return b"".join([self.two[i] for i in self.tok.encode(text, add_special_tokens=False).ids])
 
     def word(self, letters: str) -> bytes:
         """Ids of one pretoken: a run of letters, perhaps after a space."""
-        got = self.memo.get(letters)
-        if got is None:
-            mapped = letters.replace(" ", self.map[32]) if letters.isascii() else "".join(map(self.map.__getitem__, letters.encode()))
-            got = b"".join([self.two[t.id] for t in self.model.tokenize(mapped)])
-            self.memo[letters] = got
-        return got
-
-    def learn(self, chunks: set[str], kept: dict[str, bytes], lead: str) -> None:
-        """Fill kept for chunks, each without white space, that follow lead."""
-        rest = []
-        for c in chunks:
-            low = c.lower() if self.lower else c
-            if LETTERS.fullmatch(c):
-                kept[c] = self.word(lead + low)
-            elif m := STOPPED.fullmatch(c):
-                kept[c] = self.word(lead + low[:-1]) + self.word(m[2])
-            else:
-                rest.append(c)
-        for c, ids in zip(rest, self.direct([lead + c for c in rest])):
-            kept[c] = ids
+        if self.lower:
+            letters = letters.lower()
+        mapped = letters.replace(" ", self.map[32]) if letters.isascii() else "".join(map(self.map.__getitem__, letters.encode()))
+        return b"".join([self.two[t.id] for t in self.model.tokenize(mapped)])
+
+    def mark(self, sign: str) -> bytes:
+        if sign not in self.marks:
+            self.marks[sign] = self.direct(sign)
+        return self.marks[sign]
+
+    def lines(self, chunks: Chunks, chunk: str) -> bytes:
+        """Ids of a chunk with white space inside, by the chunks within it."""
+        if not chunk or (ODD_SPACE.search(chunk) and CHUNK.fullmatch(chunk)):
+            if not chunk:
+                raise Odd
+            return self.direct(chunks.lead + chunk)
+        parts = CHUNK.findall(chunk)
+        if parts[0].isspace() or parts[-1].isspace():
+            raise Odd
+        return chunks[parts[0]] + b"".join(map(self.part, parts[1:]))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.kept) + len(self.first) > CACHE_CHUNKS:
-            self.kept.clear()
-            self.first.clear()
-            self.memo.clear()
-        return self.spaced(texts) if not self.lower else self.unspaced(texts)
-
-    def odd(self, text: str) -> bool:
-        return any(s in text for s in self.special)
-
-    def unspaced(self, texts: list[str]) -> list[bytes]:
-        """For a tokenizer that drops white space."""
-        split = [None if ODD_SPACE.search(t) or self.odd(t) else t.split() for t in texts]
-        new = set(chain.from_iterable(x for x in split if x)).difference(self.kept)
-        self.learn(new, self.kept, "")
-        get = self.kept.__getitem__
-        out = [b"".join(map(get, x)) if x is not None else b"" for x in split]
-        self.forget(new)
-        for i, x in enumerate(split):
-            if x is None:
-                out[i] = self.direct([texts[i]])[0]
-        return out
+    def part(self, chunk: str) -> bytes:
+        """Ids of a chunk that CHUNK found: white space, or other characters after one space or none."""
+        if chunk.isspace() or ODD_SPACE.search(chunk):
+            return self.space(chunk)
+        return self.after[chunk[1:]] if chunk[0] == " " else self.alone[chunk]
 
-    def forget(self, new: set[str]) -> None:
-        for c in new:
-            if len(c) > LONG_CHUNK:
-                self.kept.pop(c, None)
-
-    def spaced(self, texts: list[str]) -> list[bytes]:
-        """For a byte-level tokenizer, which keeps a space with the word after it."""
-        out: list[bytes] = [b""] * len(texts)
-        plain, other = [], []
-        for i, t in enumerate(texts):
-            (other if "  " in t or EDGE.search(t) or self.odd(t) else plain).append(i)
-        split = {i: texts[i].split(" ") for i in plain}
-        new = set(chain.from_iterable(split.values())).difference(self.kept)
-        new.discard("")
-        lines = {c: CHUNK.findall(c) for c in new if c.split() != [c]}
-        bad = {c for c in lines if EDGE.search(c)}
-        new.difference_update(lines)
-        if bad:
-            for i in [i for i, x in split.items() if not bad.isdisjoint(x)]:
-                other.append(i)
-                del split[i]
-        inner = [c for c in lines if c not in bad]
-        firsts: set[str] = set()
-        for c in inner:
-            new.add(lines[c][0])
-            firsts.update(lines[c][1:])
-        new.difference_update(self.kept)
-        self.learn(new, self.kept, " ")
-        once: dict[int, list[str]] = {i: CHUNK.findall(texts[i]) for i in other if not self.odd(texts[i])}
-        for x in once.values():
-            firsts.update(x)
-        firsts.difference_update(self.first)
-        self.learn_first(firsts)
-        for c in inner:
-            self.kept[c] = self.kept[lines[c][0]] + b"".join([self.first[x] for x in lines[c][1:]])
-        get = self.kept.__getitem__
-        for i, x in split.items():
-            out[i] = (self.lone(x[0]) + b"".join(map(get, x[1:]))) if texts[i] else b""
-        for i, x in once.items():
-            out[i] = b"".join([self.first[c] for c in x])
-        for i in other:
-            if i not in once:
-                out[i] = self.direct([texts[i]])[0]
-        for c in inner:
-            self.kept.pop(c, None)
-        self.forget(new)
-        for c in firsts:
-            if len(c) > LONG_CHUNK:
-                self.first.pop(c, None)
-        return out
+    def space(self, chunk: str) -> bytes:
+        if chunk not in self.marks and len(chunk) > LONG_CHUNK:
+            return self.direct(chunk)
+        return self.mark(chunk)
 
-    def lone(self, chunk: str) -> bytes:
-        """Ids of a text's first chunk, which follows no space."""
-        parts = CHUNK.findall(chunk)
-        new = set(parts).difference(self.first)
-        self.learn_first(new)
-        ids = b"".join([self.first[c] for c in parts])
-        for c in new:
-            if len(c) > LONG_CHUNK:
-                self.first.pop(c, None)
-        return ids
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out = [self.encode_one(t) for t in texts]
+        if len(self.after) > CACHE_CHUNKS:
+            self.after = Chunks(self, self.after.lead, dict(self.after))
+        if len(self.alone) > CACHE_CHUNKS // 4:
+            self.alone = Chunks(self, "", dict(self.alone))
+        if len(self.marks) > CACHE_CHUNKS // 4:
+            self.marks.clear()
+        return out
 
-    def learn_first(self, chunks: set[str]) -> None:
-        rest = []
-        for c in chunks:
-            bare = c[1:] if c[:1] == " " else c
-            lead = " " if bare is not c else ""
-            if LETTERS.fullmatch(bare):
-                self.first[c] = self.word(c)
-            elif m := STOPPED.fullmatch(bare):
-                self.first[c] = self.word(lead + m[1]) + self.word(m[2])
-            else:
-                rest.append(c)
-        for c, ids in zip(rest, self.direct(rest)):
-            self.first[c] = ids
+    def encode_one(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return self.direct(text)
+        if self.lower:
+            return self.direct(text) if ODD_SPACE.search(text) else b"".join(map(self.after.__getitem__, text.split()))
+        if not text:
+            return b""
+        first, *rest = text.split(" ")
+        try:
+            return self.lines(self.alone, first) + b"".join(map(self.after.__getitem__, rest))
+        except Odd:
+            return b"".join(map(self.part, CHUNK.findall(text)))
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
