@@ -74,6 +74,15 @@ def every_twentieth(e: DataFrame) -> DataFrame:
     return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
+@query("""
+    WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(q.v, e.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(e.v, e.v))) AS s FROM e q, e WHERE q.vec_id % 20 = 0)
+    SELECT query_id, vec_id, rank, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+""")
+def pairwise_topk_all(spark, d):
+    e = t(spark, d, "embeddings")
+    return V.top_k_batch(every_twentieth(e), e, "vec_id", "embedding", 5).withColumn("score", F.round("score", 6))
+
+
 @query()
 def ivf_topk(spark, d):
     e = t(spark, d, "embeddings")

@@ -25,3 +25,8 @@ def test_ivf_bound_skips_nothing(spark):
     for k in (1, 7, 60):
         key = lambda r: (r["query_id"], r["rank"], round(r["score"], 9))
         assert sorted(map(key, V.ivf_top_k_batch(q, df, "id", "v", k, V.ivf_centroids(df, "id", "v", 4), probes=1).collect())) == sorted(map(key, V.top_k_batch(q, df, "id", "v", k).collect()))
+
+
+def test_pairwise_topk_all_queries(spark):
+    rows = QUERIES["pairwise_topk_all"](spark, FOLDER).collect()
+    assert {r["query_id"] for r in rows} == set(range(0, 500, 20)) and len(rows) == 25 * 5
