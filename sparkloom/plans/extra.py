@@ -79,6 +79,16 @@ def pooled_neighbours(spark, d):
     return V.pooled(e, "src", "dst", "w", v, "vec_id", "v").select("src", F.round(F.get("pooled", F.lit(0)), 6).alias("x1"), F.round(F.get("pooled", F.lit(63)), 6).alias("x64"))
 
 
+@query("""
+    WITH e AS (SELECT l_orderkey AS src, l_partkey % (SELECT count(*) FROM embeddings) AS vec_id, l_quantity AS w FROM lineitem), v AS (SELECT vec_id, embedding[1]::DOUBLE AS x1, embedding[64]::DOUBLE AS x64 FROM embeddings)
+    SELECT src, round(sum(w * x1) / sum(w), 6) AS x1, round(sum(w * x64) / sum(w), 6) AS x64 FROM e JOIN v USING (vec_id) GROUP BY 1
+""")
+def pooled_neighbours_all(spark, d):
+    v = t(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    e = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") % F.lit(v.count())).alias("dst"), F.col("l_quantity").alias("w"))
+    return V.pooled(e, "src", "dst", "w", v, "vec_id", "v").select("src", F.round(F.get("pooled", F.lit(0)), 6).alias("x1"), F.round(F.get("pooled", F.lit(63)), 6).alias("x64"))
+
+
 @query()
 def keyword_hits(spark, d):
     return each(t(spark, d, "documents"), "doc_id", "text", keyword_matches(["the", "then", "License", "idiot"]), "keyword string, start long")

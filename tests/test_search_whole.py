@@ -30,3 +30,8 @@ def test_ivf_bound_skips_nothing(spark):
 def test_pairwise_topk_all_queries(spark):
     rows = QUERIES["pairwise_topk_all"](spark, FOLDER).collect()
     assert {r["query_id"] for r in rows} == set(range(0, 500, 20)) and len(rows) == 25 * 5
+
+
+def test_pooled_neighbours_of_all_orders(spark):
+    orders = spark.read.parquet(f"{FOLDER}/lineitem.parquet").select("l_orderkey").distinct().count()
+    assert QUERIES["pooled_neighbours_all"](spark, FOLDER).count() == orders > 1000
