@@ -1,7 +1,8 @@
 """Secret scans: a random forest removes false positives among candidates, in DataFrame operations only.
 
-Candidates are words of MIN_LENGTH characters or more with a digit, or shorter ones with a
-digit or an equals sign after a word that names a secret. Each has features: its length and
+Candidates are words of MIN_LENGTH characters or more that have a digit or do not look like an
+ordinary word; words with a value behind a name of a secret and a sign; and, of any length, the
+word after a word that names a secret, with or without a sign between. Each has features: its length and
 that of its value, shares of digits, capitals, small letters and distinct characters,
 transitions between character classes, hexadecimal or not, coverage by dictionary words,
 path-like signs, and whether the words beside it or the key before its equals sign name a
@@ -27,7 +28,12 @@ TREES, DEPTH, SEED, THRESHOLD = 40, 8, 7, 0.5
 NAMES = "(?i)(pass(word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer|pwd)"
 HARMLESS = "(?i)^(commit|sha1|sha256|md5|checksum|digest|etag|revision|uuid|id|order|invoice|isbn|version|phone|card|number|hash|build)$"
 DICTIONARY = "access account admin api array base build button cache change check class client code color column config content count data default demo dev error event example file first form format get hash header home html http image index info input item key label last line link list local login main map message model name new node null number object option order page param password path placeholder port post query read request response result root sample search server service session set size source start state status string style system table test text time title token type update url user value version view web word write xxxx your".split()
-FEATURES = ["n_chars", "n_value", "digits", "upper", "lower", "other", "distinct", "changes", "hexadecimal", "covered", "slashes", "dots", "at", "key_names", "before_names", "before_harmless", "after_names", "quoted"]
+FEATURES = ["n_chars", "n_value", "digits", "upper", "lower", "other", "distinct", "changes", "hexadecimal", "covered", "slashes", "dots", "at", "key_names", "before_names", "before_harmless", "after_names", "quoted", "signed", "vowels", "prefixed"]
+SYLLABLES = "en er un de te in an ch ge re th ion ing und tion ne or es ment que la el os ado cion heit ver st le sch".split()
+#: A word that only joins a name and a value; a word that holds both; letters of a word as prose has them.
+SIGN = "^[=:>\"']+$"
+HELD = NAMES + "[A-Za-z0-9_.-]*[\"']?[=:]+[^=:].*"
+ORDINARY = "^[^\\p{L}]*\\p{L}?[\\p{Ll}'\u2019]{0,23}[^\\p{L}]*$"
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -36,7 +42,12 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     split = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words"))
     long = lambda w: (F.length(w) >= MIN_LENGTH) & w.rlike("[0-9]")
     named = lambda w: (F.length(w) >= SHORT) & w.contains("=") & w.rlike(NAMES)
-    hits = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("word"))), lambda x: long(x["word"]) | named(x["word"]))
+    keylike = lambda w: (F.length(w) >= MIN_LENGTH) & ~w.rlike(ORDINARY)
+    at_ = lambda i: F.when(i >= 0, F.get("words", i)).otherwise(F.lit(""))
+    naming = lambda i: at_(i - 1).rlike(NAMES) | (at_(i - 1).rlike(SIGN) & at_(i - 2).rlike(NAMES))
+    held = lambda w: w.rlike(HELD)
+    after = lambda w, i: w.rlike("[\\p{L}\\p{N}]") & naming(i)
+    hits = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("word"))), lambda x: long(x["word"]) | named(x["word"]) | keylike(x["word"]) | held(x["word"]) | after(x["word"], x["i"]))
     at = split.withColumn("hit", F.explode(hits)).withColumn("i", F.col("hit.i"))
     near = lambda k: F.coalesce(F.get("words", F.col("i") + k), F.lit(""))
     return at.select("doc_id", F.col("i").cast("long").alias("word_index"), near(-2).alias("before2"), near(-1).alias("before"), F.col("hit.word").alias("word"), near(1).alias("after"))
@@ -49,7 +60,8 @@ def share(value: Column, pattern: str) -> Column:
 
 def with_features(found: DataFrame) -> DataFrame:
     """Add the value (without key, quotes and end marks) and the FEATURES."""
-    bare = F.regexp_replace(F.col("word"), "^[\"'(<\\[{]+|[\"')>\\]},;.!?]+$", "")
+    closed = F.regexp_replace(F.col("word"), "(?<=.)[\"'][^\\p{L}\\p{N}]*$", "")  # marks behind a closing quote
+    bare = F.regexp_replace(closed, "^[\"'(<\\[{]+|[\"')>\\]},;.!?]+$", "")
     key = F.regexp_extract(bare, "^([A-Za-z_.-]{2,40})[=:]", 1)
     value = F.regexp_replace(F.when(key != "", F.substring(bare, F.length(key) + 2, 1 << 30)).otherwise(bare), "^[\"']+", "")
     d = found.withColumn("value", value).withColumn("key", key)
@@ -72,6 +84,8 @@ def with_features(found: DataFrame) -> DataFrame:
         is_(v.contains("@")).alias("at"), is_(F.col("key").rlike(NAMES)).alias("key_names"),
         is_(naming.rlike(NAMES)).alias("before_names"), is_(naming.rlike(HARMLESS)).alias("before_harmless"),
         is_(F.col("after").rlike(NAMES)).alias("after_names"), is_(F.col("word").rlike("^[\"']")).alias("quoted"),
+        is_(F.col("before").rlike("[=:][\"']*$")).alias("signed"),
+        share(v, "AEIOUYaeiouyÄÖÜäöüÀ-ÆÈ-ÏÒ-ÖÙ-Ýà-æè-ïò-öù-ý").alias("vowels"), is_(v.rlike("^(AKIA|ASIA|AGPA|gh[a-z]_|xox[a-z]-|sk_|glpat-)")).alias("prefixed"),
     )
 
 
@@ -93,6 +107,9 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     two = F.concat(common, F.initcap(pick("e", *DICTIONARY[40:80])))
     quote = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     none = F.lit("")
+    spoken = F.concat(*(pick(f"y{i}", *SYLLABLES) for i in range(5)), F.substring(pick("y5", *SYLLABLES), 1, (number("y6", 4)).cast("int")))
+    mark = pick("y7", "", ".", ",", "!!", "!", "?", ".!!")
+    shouted = F.concat(F.upper(spoken), mark)
     shapes = [
         (1, none, plain, F.concat(pick("a", "AKIA", "ASIA", "AGPA"), upper)),
         (1, none, plain, F.concat(named, F.lit("="), hexed)),
@@ -101,6 +118,22 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         (1, none, F.concat(named, F.lit(":")), letters("m", 28)),
         (1, none, plain, F.concat(pick("g", "ghp_", "xoxb-", "sk_live_", "glpat-"), letters("o", 30))),
         (1, none, plain, F.concat(named, F.lit("="), F.substring(letters("r", 20), 1, 14))),
+        (1, none, F.concat(named, F.lit(":")), F.concat(common, number("j", 99).cast("string"))),
+        (1, named, pick("q", "=", ":"), F.substring(letters("k", 20), 1, (6 + number("k", 6)).cast("int"))),
+        (1, none, plain, F.concat(named, F.lit(":"), F.substring(h("k2"), 1, (5 + number("k", 7)).cast("int")))),
+        (1, none, plain, F.concat(pick("a", "AKIA", "ASIA", "AGPA"), F.translate(upper, "0123456789", "QWERTZPLKJ"))),
+        (1, none, plain, F.translate(letters("o2", 36), "0123456789", "qXvTzPkJwR")),
+        (1, none, F.concat(named, F.lit(":")), F.translate(F.substring(letters("r2", 30), 1, 18), "0123456789", "qXvTzPkJwR")),
+        (0, F.upper(plain), F.concat(F.upper(plain), mark), shouted),
+        (0, none, plain, F.concat(spoken, pick("y8", "-", "_", "/", ".", "'", ","), pick("y9", *SYLLABLES), mark)),
+        (0, none, plain, F.concat(F.initcap(spoken), F.initcap(pick("y9", *SYLLABLES)), mark)),
+        (0, none, named, F.concat(F.substring(spoken, 1, (4 + number("z2", 6)).cast("int")), mark)),
+        (0, none, named, pick("c2", *DICTIONARY[40:])),
+        (0, none, named, plain),
+        (0, none, plain, F.concat(two, F.initcap(pick("e2", *DICTIONARY[20:60])))),
+        (0, none, plain, F.concat(F.upper(common), F.lit("_"), F.upper(pick("e2", *DICTIONARY[20:60])))),
+        (0, none, plain, F.concat(F.lit("https://example.com/"), common, F.lit("/"), two)),
+        (0, none, F.concat(named, F.lit(":")), pick("v2", "changeme", "example", "placeholder", "xxxxxxxx", "your_password", "null", "string")),
         (0, none, safe, hexed),
         (0, safe, F.lit("="), quote(hexed)),
         (0, none, plain, digits(16)),
