@@ -22,12 +22,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, id_and_bytes, small_batches, stage
+from .common import arrow_rows, id_and_bytes, stage
 from .words import encoder
 
 #: Characters of a block; texts up to twice that are encoded whole.
@@ -139,38 +139,37 @@ def encode_text(tok, text: str, block: int = BLOCK) -> list[int]:
     return concatenated(tok, text, leaves, block).ids.tolist()
 
 
-def digest_columns(path: str, keys: list[tuple[int, int]], ids: list[bytes]) -> pa.RecordBatch:
-    """Counts and hashes of each text's ids and of the text decoded from them."""
-    e = encoder(path)
-    names = _decimal(path)
-    lists = [np.frombuffer(x, "<u2").tolist() for x in ids]
-    hashes = [hashlib.sha256(",".join([names[i] for i in x]).encode()).hexdigest() for x in lists]
-    texts = e.tok.decode_batch(lists, skip_special_tokens=False)
-    back = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(x) for x in lists], pa.int64()), pa.array(hashes, pa.string()), pa.array(back, pa.string())], names=["row", "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+def digest_columns(path: str, rows: pa.Array, docs: pa.Array, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Counts and hashes of each text's ids (ids one text after another, n of each) and of the text decoded from them."""
+    tok = encoder(path).tok
+    ends = np.concatenate([[0], np.cumsum(n)])
+    decimal = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _decimal(path).take(pa.array(ids)))
+    hashes = [hashlib.sha256(x.encode()).hexdigest() for x in pc.binary_join(decimal, ",").to_pylist()]
+    lists = [x.tolist() for x in np.split(ids, ends[1:-1])] if len(n) else []
+    back = [hashlib.sha256(t.encode()).hexdigest() for t in tok.decode_batch(lists, skip_special_tokens=False)]
+    return pa.RecordBatch.from_arrays([rows, docs, pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(back, pa.string())], names=["row", "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-_NAMES: dict[str, list[str]] = {}
+_NAMES: dict[str, pa.Array] = {}
 
 
-def _decimal(path: str) -> list[str]:
+def _decimal(path: str) -> pa.Array:
     if path not in _NAMES:
-        _NAMES[path] = [str(i) for i in range(encoder(path).tok.get_vocab_size())]
+        _NAMES[path] = pa.array([str(i) for i in range(encoder(path).size)], pa.string())
     return _NAMES[path]
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     spark = docs.sparkSession
-    small_batches(spark)
     rows = id_and_bytes(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
     long = F.coalesce(F.length(F.col("text").cast("string")) > 2 * block, F.lit(False))
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for b in arrow_rows(batches):
-            texts = [(x or b"").decode() for x in b.column("text").to_pylist()]
-            yield digest_columns(path, list(zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist())), e.encode(texts))
+            ids, n = e.flat([(x or b"").decode() for x in b.column("text").to_pylist()])
+            yield digest_columns(path, b.column("row"), b.column("doc_id"), ids, n)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow_rows(batches):
@@ -189,17 +188,18 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     x["tokens"] = np.stack([p.ids, p.start, p.end, p.opens]).astype("<i4").tobytes()
                 yield pa.RecordBatch.from_pylist(out, schema=LEAVES)
 
-    def tree(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tok = encoder(path).tok
-        pdf = pdf.sort_values("lo")
-        text = "".join(pdf["piece"])
+    def tree(table: pa.Table) -> pa.Table:
+        """All blocks of one text, which as a value of a row fits a task."""
+        e = encoder(path)
+        rows = table.sort_by("lo").to_pylist()
+        text = "".join(r["piece"] for r in rows)
         own = {}
-        for lo, hi, raw in zip(pdf["lo"], pdf["hi"], pdf["tokens"]):
-            ids, start, end, opens = np.frombuffer(raw, "<i4").reshape(4, -1).astype(np.int64)
-            own[int(lo), int(hi)] = Part(ids, start + lo, end + lo, opens.astype(bool))
-        ids = concatenated(tok, text, own, block).ids.astype("<u2").tobytes()
-        doc = pdf["doc_id"].iloc[0]
-        return digest_columns(path, [(int(key[0]), None if pd.isna(doc) else int(doc))], [ids]).to_pandas()
+        for r in rows:
+            ids, start, end, opens = np.frombuffer(r["tokens"], "<i4").reshape(4, -1).astype(np.int64)
+            own[r["lo"], r["hi"]] = Part(ids, start + r["lo"], end + r["lo"], opens.astype(bool))
+        ids = concatenated(e.tok, text, own, block).ids.astype(e.dtype)
+        found = digest_columns(path, pa.array([rows[0]["row"]], pa.int64()), pa.array([rows[0]["doc_id"]], pa.int64()), ids, np.array([len(ids)], np.int64))
+        return pa.Table.from_batches([found])
 
     PIECES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("piece", pa.string())])
     LEAVES = PIECES.append(pa.field("tokens", pa.binary()))
@@ -208,5 +208,5 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     pieces = stage(rows.where(long).mapInArrow(blocks, columns), "blocks")
     split = max(1, spark.conf.get("spark.sql.shuffle.partitions") and int(spark.conf.get("spark.sql.shuffle.partitions")))
     coded = pieces.repartition(split, "row", "lo").mapInArrow(leaves, columns + ", tokens binary")
-    trees = coded.groupBy("row").applyInPandas(tree, CODES)
+    trees = coded.groupBy("row").applyInArrow(tree, CODES)
     return direct.unionByName(trees).drop("row")

@@ -6,12 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of a batch sent to Python; texts are long, so batches are short.
-BATCH_ROWS = 256
+#: Rows and bytes of text that Python works on at once. Spark itself bounds an Arrow batch by bytes (spark.sql.execution.arrow.maxBytesPerBatch).
+BATCH_ROWS, BATCH_BYTES = 2048, 6 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,11 +21,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, as texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; where unset, as in tests, a temporary one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -76,11 +73,16 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in batch.column(column).to_pylist()]
 
 
-def arrow_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut batches to BATCH_ROWS rows."""
+def arrow_rows(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Cut batches to BATCH_ROWS rows and, but for a single row, BATCH_BYTES bytes of the column."""
     for batch in batches:
-        for i in range(0, batch.num_rows, BATCH_ROWS):
-            yield batch.slice(i, BATCH_ROWS)
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            base = upto[lo - 1] if lo else 0
+            hi = max(lo + 1, min(lo + BATCH_ROWS, int(np.searchsorted(upto, base + BATCH_BYTES, "right"))))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
 
 
 def id_and_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,13 +94,36 @@ def id_and_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 MAX_BROADCAST_IDS = 500_000
 
 
-def drop_ids(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """docs without the ids that are decided (doc_id, kept) to go; an id stays if any of its rows does.
+def bounded(ids: DataFrame) -> DataFrame:
+    """Staged ids with a broadcast hint if they are counted to be at most MAX_BROADCAST_IDS; else they meet the documents by a shuffled join."""
+    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+
+
+def key_of(text: Column) -> Column:
+    """A text's name among those of one id: two 64-bit hashes."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
+def first_of(id_col: str = "doc_id", row: str = "row") -> Column:
+    """Aggregate: the row with the smallest id (none: only where all lack one), of equal ids the one with the smallest row number."""
+    return F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("doc_id"), F.col(row).alias("row")))
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """docs without the rows that are decided to go; decided: staged, one row for each document with doc_id, name (key_of its text) and kept.
 
-    The ids that go are counted: up to MAX_BROADCAST_IDS are broadcast, so that texts are not
-    shuffled; more of them meet the documents by a shuffled join.
+    Ids of one row are settled by id alone: those that go are counted and, as far as they are few,
+    broadcast, so that no text is shuffled. Rows that share their id (or have none) are settled by id and text.
     """
-    gone = stage(decided.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select(F.col("doc_id").alias("_gone")), "gone")
-    if gone.count() <= MAX_BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    per = stage(decided.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")).where("n > 1 OR NOT kept"), "settled")
+    left = bounded(per.select(F.col("doc_id").alias("_gone")))
+    alone = docs.join(left, docs["doc_id"].eqNullSafe(left["_gone"]), "left_anti")
+    many = per.where("n > 1").select(F.col("doc_id").alias("_many"))
+    if many.isEmpty():
+        return alone
+    many = bounded(many)
+    wanted = decided.where("kept").join(many, decided["doc_id"].eqNullSafe(many["_many"]), "left_semi").select(F.col("doc_id").alias("_id"), F.col("name").alias("_name")).distinct()
+    rows = docs.join(many, docs["doc_id"].eqNullSafe(many["_many"]), "left_semi").select(F.struct(*docs.columns).alias("r"), F.col("doc_id").cast("long").alias("id"), key_of(F.col("text")).alias("name"))
+    rows = rows.join(wanted, rows["id"].eqNullSafe(wanted["_id"]) & (rows["name"] == wanted["_name"]), "left_semi")
+    one = rows.groupBy("id", "name").agg(F.first("r").alias("r")).select("r.*")  # rows of one id and text are repeats
+    return alone.unionByName(one.select(*docs.columns))

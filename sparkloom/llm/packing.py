@@ -18,12 +18,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, id_and_bytes, numbered, small_batches, stage
+from .common import arrow_rows, id_and_bytes, numbered, stage
 from .words import encoder
 
 LENGTH = 4096
@@ -32,21 +31,21 @@ PIECES = "row long, doc_id long, start long, length long, ids_crc32 long, doc_to
 
 def pieces(docs: DataFrame, path: str, end_id: int, limit: int, id_col: str, text_col: str) -> DataFrame:
     """Tokenise, append the end id and cut into pieces of at most limit tokens."""
-    small_batches(docs.sparkSession)
-    end = end_id.to_bytes(2, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for b in arrow_rows(batches):
-            out: list[list] = [[], [], [], [], [], []]
-            coded = e.encode([(x or b"").decode() for x in b.column("text").to_pylist()])
-            for row, doc, raw in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), coded):
-                ids = np.frombuffer(raw + end, "<u2").astype("<u4")
-                for lo in range(0, len(ids), limit):
-                    part = ids[lo : lo + limit]
-                    for column, value in zip(out, (row, doc, lo, len(part), zlib.crc32(part), len(ids))):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["row", "doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            ids, n = e.flat([(x or b"").decode() for x in b.column("text").to_pylist()], end_id)
+            raw = memoryview(ids.astype("<u4")).cast("B")
+            cuts = -(-n // limit)
+            of = np.repeat(np.arange(len(n)), cuts)
+            nth = np.arange(len(of)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+            lo = nth * limit
+            length = np.minimum(limit, n[of] - lo)
+            at = (np.cumsum(n) - n)[of] + lo
+            crc = [zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(at.tolist(), length.tolist())]
+            of_row = pa.array(of)
+            yield pa.RecordBatch.from_arrays([b.column("row").take(of_row), b.column("doc_id").take(of_row), pa.array(lo), pa.array(length), pa.array(crc, pa.int64()), pa.array(n[of])], names=["row", "doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return id_and_bytes(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, PIECES)
 
@@ -118,19 +117,19 @@ def pack(docs: DataFrame, path: str, limit: int = LENGTH, end_id: int = 2, id_co
     table, packed = places(shortest_pack_first(histogram, limit))
     table[limit] = np.array([[0, 1, packed, 0]], np.int64)
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sequence, offset = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
-            rank, length = b["rank"].to_numpy(np.int64), b["length"].to_numpy(np.int64)
+            rank, length = (b.column(c).to_numpy() for c in ("rank", "length"))
+            sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             order = np.argsort(length, kind="stable")
-            for at in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(b) else []:
+            for at in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(rank) else []:
                 rows = table[int(length[at[0]])]
                 hit = rows[np.searchsorted(rows[:, 0], rank[at], "right") - 1]
                 nth = rank[at] - hit[:, 0]
                 sequence[at] = hit[:, 2] + nth // hit[:, 1]
                 offset[at] = hit[:, 3] + nth % hit[:, 1] * length[at]
-            yield b.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
 
-    ranked = numbered(cut, ["length"], "uid", "rank")
     kept = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    return ranked.select(*kept, "rank").mapInPandas(place, ", ".join(f"{c} long" for c in [*kept, "sequence_id", "offset"]))
+    ranked = numbered(cut, ["length"], "uid", "rank")
+    return ranked.select(*kept, "rank").mapInArrow(place, ", ".join(f"{c} long" for c in [*kept, "sequence_id", "offset"]))

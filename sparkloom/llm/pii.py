@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, small_batches, stage
+from .common import arrow_rows, stage
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, SUPPORT, CONFIDENCE = 3, 5, 0.9
@@ -147,7 +147,6 @@ def mentions_of(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
 
 def extracted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per document: counts, base spans and mentions."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow_rows(batches):
@@ -256,7 +255,6 @@ def masked_rows(docs: DataFrame, accepted: DataFrame) -> DataFrame:
     kinds: dict[str, set[str]] = {}
     for r in accepted.collect():
         kinds.setdefault(r["pattern"], set()).add(r["kind"])
-    small_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def replaced(text: pd.Series) -> pd.Series:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, id_and_bytes, small_batches, stage, texts_of
+from .common import arrow_rows, id_and_bytes, stage, texts_of
 from .components import components
 
 SEED = 42
@@ -103,7 +103,6 @@ def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow_rows(batches):

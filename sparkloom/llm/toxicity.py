@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, small_batches, stage
+from .common import arrow_rows, stage
 
 DECAY = 0.7
 SIZES = (8, 12, 16, 26)
@@ -300,7 +300,6 @@ def nothing_learned(n_pos: int, n_neg: int) -> Model:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """docs: doc_id and text; labels: doc_id and toxic."""
     spark = docs.sparkSession
-    small_batches(spark)
     fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & (fold != HELD_OUT_FOLD)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = F.broadcast(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED))
