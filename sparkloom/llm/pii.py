@@ -1,17 +1,20 @@
 """PII: fixed patterns, and contextual extraction bootstrapped from what they find.
 
 Base spans follow the four fixed patterns below. Seeds are the base entities. Every other
-token with digits or an at-sign is a candidate instance. Each mention, of a seed or a candidate,
-induces lexical patterns from the words beside it: the two to the left, and the one to the left
-with the one to the right. Spark counts the distinct edges between patterns and instances and
-scores both sides in turn: a pattern's confidence for a kind is the belief in the instances that
-it meets over their number, and an instance's belief is that of its surest pattern. In each round
-patterns with at least SUPPORT believed instances and CONFIDENCE reach out to unseen instances,
-which then support patterns themselves. Mentions of unseen identifiers beside a sure pattern
-become spans of that kind; base spans always stay, and added spans never overlap them.
+token with digits or an at-sign is a candidate instance, and neighbouring tokens of digits are one
+candidate together. Each mention, of a seed or a candidate, induces lexical patterns from the words
+beside it: the two to the left, the one to the left with the one to the right, and the one to the
+left with the sign it ends with. Spark counts the distinct edges between patterns and instances and
+scores both sides in turn: a pattern's confidence for a kind is the number of instances believed to
+be of that kind over the number that it meets and SMOOTH; patterns with at least SUPPORT believed
+instances and CONFIDENCE reach out to unseen instances, and an instance that all its sure patterns
+agree on is believed from then on and supports patterns itself. Rounds end when no instance is new.
+Mentions of unseen identifiers beside sure patterns of one kind become spans of that kind; base
+spans always stay, and added spans never overlap them.
 
 Defined results: a null text is empty; emails need an at-sign and thus very long texts take
-linear time; numbers of any length are compared as digits; repeated rows each get a row; an
+linear time; words and instances of more than LONG characters stand in patterns by a hash of the
+whole; numbers of any length are compared as digits; repeated rows each get a row; an
 empty table gives no rows; extra columns are ignored.
 """
 
@@ -22,13 +25,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, stage
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, SUPPORT, CONFIDENCE = 3, 5, 0.9
+SUPPORT, CONFIDENCE, SMOOTH, LONG = 5, 0.9, 0.5, 64
 #: Sure patterns that may be sent to the tasks.
 MAX_PATTERNS = 100_000
 LEFT = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -39,6 +43,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 MARKED = re.compile(r"[0-9@]")
+#: A token of a number that is written in groups.
+DIGITS = re.compile(r"[(+]?[0-9][0-9()./-]*[.,;:!?]?")
+FOLLOWS = re.compile(r"""[.,;:!?"')\]}>]*\s*(\S+)""")
 TRIM = ".,;:!?\"'()[]{}<>"
 SCHEMA = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<kind:string,start:int,end:int>>, mentions array<struct<kind:string,start:int,end:int,instance:string,patterns:array<string>>>"
 
@@ -108,40 +115,75 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def bare(word: str) -> str:
-    return re.sub("[0-9]+", "0", word.lower().strip(TRIM))
+    """A word as patterns have it: small letters, numbers alike, no signs around it; a long one by its hash."""
+    plain = re.sub("[0-9]+", "0", word.lower().strip(TRIM)) or word
+    return plain if len(plain) <= LONG else "#" + xxhash.xxh128_hexdigest(plain.encode())
 
 
-def mentions_of(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
-    """Seeds and candidates with the lexical patterns beside them."""
-    places = [(k, a, b) for k, a, b in base]
-    i = 0
+def word_before(text: str, at: int) -> tuple[str, int]:
+    """The word that ends before a place, opening signs aside, and its start; empty where there is none."""
+    end = at
+    while end > 0 and (text[end - 1].isspace() or text[end - 1] in "\"'([{<"):
+        end -= 1
+    start = end
+    while start > 0 and not text[start - 1].isspace():
+        start -= 1
+    return text[start:end], start
+
+
+def word_after(text: str, at: int) -> str:
+    """The word that begins behind a place, closing signs aside."""
+    m = FOLLOWS.match(text, at)
+    return m[1] if m else ""
+
+
+def candidate_places(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Tokens with digits or an at-sign that no base span touches, trimmed; runs of digit tokens as one."""
+    out: list[list[int]] = []
     by_start = sorted(base, key=lambda x: x[1])
-    top = 0
+    i = top = 0
+    joins = False
     for m in TOKEN.finditer(text) if MARKED.search(text) else ():
-        if not MARKED.search(m[0]):
+        word = m[0]
+        if not MARKED.search(word):
+            joins = False
             continue
-        a = m.start() + len(m[0]) - len(m[0].lstrip(TRIM))
-        b = m.end() - (len(m[0]) - len(m[0].rstrip(TRIM)))
+        a = m.start() + len(word) - len(word.lstrip(TRIM))
+        b = m.end() - (len(word) - len(word.rstrip(TRIM)))
         while i < len(by_start) and by_start[i][1] < b:
             top = max(top, by_start[i][2])
             i += 1
-        if a < b and top <= a and 6 <= b - a <= 64:
-            places.append((None, a, b))
+        if a >= b or top > a:
+            joins = False
+            continue
+        digits = bool(DIGITS.fullmatch(word))
+        if digits and word[0] == "(" and ")" in word:
+            a = m.start()
+        if joins and digits and text[m.start() - 1] == " " and out[-1][2] == m.start() - 1:
+            out[-1][1:] = [b, m.end()]
+        else:
+            out.append([a, b, m.end()])
+        joins = digits
+    return [(a, b) for a, b, _ in out]
+
+
+def mentions_of(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
+    """Seeds and candidates with the lexical patterns beside them."""
     out = []
-    for kind, a, b in places:
-        left = text[max(0, a - 80) : a].split()[-2:]
-        right = text[b : b + 40].split()[:1]
-        word = [bare(x) or x for x in left]
-        follow = [bare(x) or x for x in right]
+    for kind, a, b in [*base, *((None, a, b) for a, b in candidate_places(text, base))]:
+        one, at = word_before(text, a)
+        two, _ = word_before(text, at)
+        follow = word_after(text, b)
         patterns = []
-        if len(word) == 2:
-            patterns.append(f"{word[0]} {word[1]} _")
-        if word and follow:
-            patterns.append(f"{word[-1]} _ {follow[0]}")
-        if word and (left[-1][-1] in ":=#" or not left[-1][-1].isalnum()):
-            patterns.append(f"{left[-1].lower()} _")
+        if two:
+            patterns.append(f"{bare(two)} {bare(one)} _")
+        if one and follow:
+            patterns.append(f"{bare(one)} _ {bare(follow)}")
+        if one and not one[-1].isalnum():
+            patterns.append(f"{bare(one)}{one[-1]} _")
+        instance = text[a:b]
         if kind or patterns:
-            out.append({"kind": kind, "start": a, "end": b, "instance": text[a:b], "patterns": patterns})
+            out.append({"kind": kind, "start": a, "end": b, "instance": instance if b - a <= LONG else "#" + xxhash.xxh128_hexdigest(instance.encode()), "patterns": sorted(set(patterns))})
     return out
 
 
@@ -166,24 +208,16 @@ def extracted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def sure_patterns(mentions: DataFrame) -> DataFrame:
     """(pattern, kind) of the patterns that the rounds accept; mentions: kind, instance, patterns."""
     edges = stage(mentions.select("instance", "kind", F.explode("patterns").alias("pattern")).groupBy("instance", "pattern").agg(F.max("kind").alias("kind")), "edges")
-    # only patterns that meet enough different seeds or instances can ever be accepted
-    believed = edges.where("kind IS NOT NULL").select("instance", "kind").distinct()
-    accepted = None
-    for _ in range(ROUNDS):
-        met = edges.select("instance", "pattern").join(believed.withColumnRenamed("kind", "as_kind"), "instance", "left")
-        n = F.count(F.lit(1))
-        # one row for each pattern and kind; the rows without belief count against all kinds
-        by_kind = met.groupBy("pattern", "as_kind").agg(n.alias("n"))
-        total = by_kind.groupBy("pattern").agg(F.sum("n").alias("total"))
-        accepted = by_kind.where(F.col("as_kind").isNotNull() & (F.col("n") >= SUPPORT)).join(total, "pattern").where(F.col("n") >= CONFIDENCE * F.col("total")).select("pattern", F.col("as_kind").alias("kind"))
-        accepted = stage(accepted, "patterns")
-        reached = edges.where("kind IS NULL").select("instance", "pattern").join(accepted, "pattern").groupBy("instance").agg(F.min("kind").alias("kind"), F.max("kind").alias("other")).where("kind = other").select("instance", "kind")
-        seeds = edges.where("kind IS NOT NULL").groupBy("instance").agg(F.max("kind").alias("kind"))
-        before = believed.count()
-        believed = stage(seeds.unionByName(reached).groupBy("instance").agg(F.max("kind").alias("kind")), "believed")
-        if believed.count() == before:
-            break
-    return accepted
+    total = stage(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("total")), "totals")
+    believed = stage(edges.where("kind IS NOT NULL").groupBy("instance").agg(F.max("kind").alias("as_kind")), "believed")
+    while True:
+        by_kind = edges.select("instance", "pattern").join(believed, "instance").groupBy("pattern", "as_kind").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT)
+        accepted = stage(by_kind.join(total, "pattern").where(F.col("n") >= CONFIDENCE * (F.col("total") + SMOOTH)).select("pattern", F.col("as_kind").alias("kind")), "patterns")
+        reached = edges.select("instance", "pattern").join(accepted, "pattern").groupBy("instance").agg(F.min("kind").alias("as_kind"), F.max("kind").alias("other")).where("as_kind = other").select("instance", "as_kind")
+        new = stage(reached.join(believed.select("instance"), "instance", "left_anti"), "reached")
+        if new.isEmpty():
+            return accepted
+        believed = stage(believed.unionByName(new), "believed")
 
 
 def joined(spans: str) -> F.Column:

@@ -48,9 +48,10 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     held = lambda w: w.rlike(HELD)
     after = lambda w, i: w.rlike("[\\p{L}\\p{N}]") & naming(i)
     hits = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("word"))), lambda x: long(x["word"]) | named(x["word"]) | keylike(x["word"]) | held(x["word"]) | after(x["word"], x["i"]))
-    at = split.withColumn("hit", F.explode(hits)).withColumn("i", F.col("hit.i"))
-    near = lambda k: F.coalesce(F.get("words", F.col("i") + k), F.lit(""))
-    return at.select("doc_id", F.col("i").cast("long").alias("word_index"), near(-2).alias("before2"), near(-1).alias("before"), F.col("hit.word").alias("word"), near(1).alias("after"))
+    near = lambda x, k: at_(x["i"] + k) if k < 0 else F.coalesce(F.get("words", x["i"] + k), F.lit(""))
+    # the neighbours are taken here, so that no candidate carries its text's words along
+    found = F.transform(hits, lambda x: F.struct(x["i"].cast("long").alias("word_index"), near(x, -2).alias("before2"), near(x, -1).alias("before"), x["word"].alias("word"), near(x, 1).alias("after")))
+    return split.select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.*")
 
 
 def share(value: Column, pattern: str) -> Column:
