@@ -9,15 +9,25 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.IfExp, ast.Assert, ast.comprehension, ast.match_case)
 DEFINITION = re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+|export\s+|public\s+|private\s+|static\s+|async\s+|default\s+)*(fn|func|function|class|struct|enum|trait|interface|def|type|impl)\s+([A-Za-z_]\w*)", re.M)
 HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
-#: Words of each intent, in the order that ties prefer.
-INTENTS = {"debug": ["error", "bug", "fix", "crash", "fail"], "implement": ["add", "implement", "create", "build", "write"], "refactor": ["refactor", "rename", "clean", "simplify", "extract"], "test": ["test", "assert", "coverage", "mock"], "document": ["document", "explain", "readme", "comment"]}
+#: What a word must contain to speak for an intent, intents in the order that ties prefer.
+INTENTS = {
+    "understand": ["how", "why", "what", "explain", "describe", "understand", "works"],
+    "debug": ["fix", "bug", "error", "fail", "broken", "panic", "exception", "issue", "wrong"],
+    "implement": ["add", "create", "build", "make", "implement", "new", "write", "code"],
+    "refactor": ["rename", "extract", "inline", "refactor", "move", "change", "simplify", "cleanup", "restructure"],
+    "document": ["document", "describe", "annotate", "comment", "explain", "spec"],
+}
+#: How far an intent raises the score of a chunk that matches by meaning.
+BOOSTS = {"debug": 1.5, "understand": 1.2, "implement": 1.0, "refactor": 0.8, "document": 0.8, "explore": 0.5}
 
 
 def each(df: DataFrame, id_col: str, text: str, f: Callable[[str], list[tuple]], columns: str) -> DataFrame:
@@ -150,9 +160,24 @@ def keyword_matches(words: list[str]) -> Callable[[str], list[tuple[str, int]]]:
     return find
 
 
-def intent(text: str) -> list[tuple[str, int]]:
-    """(intent, words met); the first intent with most words, explore without any."""
-    words = re.findall(r"\w+", text.lower())
-    n = {k: sum(words.count(w) for w in ws) for k, ws in INTENTS.items()}
-    best = max(n, key=lambda k: n[k])
-    return [(best, n[best])] if n[best] else [("explore", 0)]
+def intent(text: Column) -> Column:
+    """(intent, confidence, n): the intent that most words speak for, ties as listed.
+
+    explore counts one less than all others together, so it wins where words speak for several
+    intents evenly, and where none speaks. Confidence is the winner's share of all counts, at least 0.3; 1 where none speaks.
+    """
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "\\s+"), lambda w: w != "")
+    speaks = lambda parts: lambda w: w.rlike("|".join(parts))
+    n = {k: F.size(F.filter(words, speaks(parts))) for k, parts in INTENTS.items()}
+    total = reduce(Column.__add__, n.values())
+    scores = F.array(*(F.struct(F.lit(-i).alias("last"), c.alias("n"), F.lit(k).alias("intent")) for i, (k, c) in enumerate(n.items())))
+    best = F.array_max(F.transform(scores, lambda s: F.struct(s["n"].alias("n"), s["last"].alias("last"), s["intent"].alias("intent"))))
+    explore = (total == 0) | (total - 1 > best["n"])
+    share = F.when(total == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.3), F.when(explore, total - 1).otherwise(best["n"]) / (2 * total - 1)))
+    return F.struct(F.when(explore, F.lit("explore")).otherwise(best["intent"]).alias("intent"), share.alias("confidence"), best["n"].cast("long").alias("n"))
+
+
+def semantic_weight(score: Column, intent: Column, matches: Column, boost: float = 0.2) -> Column:
+    """A score raised by its query's intent where the chunk matches by meaning."""
+    table = F.create_map(*[F.lit(x) for pair in BOOSTS.items() for x in pair])
+    return F.when(matches, score * (1 + boost * F.try_element_at(table, intent))).otherwise(score)

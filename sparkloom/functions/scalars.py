@@ -10,18 +10,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Languages by file extension.
-LANGUAGES = {"rs": "rust", "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "rb": "ruby", "sh": "bash", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "md": "markdown", "html": "html", "css": "css", "sql": "sql"}
+LANGUAGES = {
+    "rs": "rust", "py": "python", "pyi": "python", "pyw": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
+    "go": "go", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "java": "java", "rb": "ruby", "sh": "shell", "bash": "shell", "zsh": "shell",
+    "sql": "sql", "md": "markdown", "markdown": "markdown", "toml": "toml", "yaml": "yaml", "yml": "yaml", "json": "json", "html": "html", "css": "css",
+}
 #: Multipliers and currencies by word.
 MULTIPLIERS = {"thousand": 1e3, "mil": 1e3, "million": 1e6, "millions": 1e6, "milhão": 1e6, "milhões": 1e6, "billion": 1e9, "billions": 1e9, "bilhão": 1e9, "bilhões": 1e9, "k": 1e3, "m": 1e6, "b": 1e9, "bn": 1e9}
 CURRENCIES = {"R$": "BRL", "US$": "USD", "$": "USD", "€": "EUR", "£": "GBP", "BRL": "BRL", "USD": "USD", "EUR": "EUR", "GBP": "GBP", "reais": "BRL", "dollars": "USD", "euros": "EUR"}
 
 
 def language(path: str | Column) -> Column:
-    """The language by the last extension; null if unknown."""
+    """The language by what follows the last point (all of it without a point); null if unknown."""
     p = F.col(path) if isinstance(path, str) else path
-    extension = F.lower(F.regexp_extract(p, "\\.([^./]+)$", 1))
     table = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
-    return F.try_element_at(table, extension)
+    return F.try_element_at(table, F.element_at(F.split(p, "[.]"), -1))
 
 
 def glob_regex(pattern: str) -> str:
@@ -42,10 +45,11 @@ def glob_regex(pattern: str) -> str:
 
 
 def code_words(text: str | Column) -> Column:
-    """Lower-case words of an identifier or path: split at case changes, digits, underscores and signs."""
+    """Lower-case words of an identifier or path: parted at signs, after a small letter or digit before a capital, and before the last capital of an acronym of two or more."""
     t = F.col(text) if isinstance(text, str) else text
-    parted = F.regexp_replace(F.regexp_replace(t, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    return F.filter(F.split(F.lower(parted), "[^a-z0-9]+"), lambda w: F.length(w) > 0)
+    humps = F.regexp_replace(t, "([\\p{Ll}0-9])(?=\\p{Lu})", "$1 ")
+    parted = F.regexp_replace(humps, "(?<![\\p{IsAlphabetic}\\p{N}])(\\p{Lu}{2,}|[\\p{Lu}&&[^A-Z]])(?=\\p{Lu}\\p{Ll})", "$1 ")
+    return F.filter(F.split(F.lower(parted), "[^\\p{IsAlphabetic}\\p{N}]+"), lambda w: F.length(w) > 0)
 
 
 def half_life(age: Column, half: float) -> Column:

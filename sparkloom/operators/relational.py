@@ -6,11 +6,15 @@ the adaptive planner decides by measured size. Missing values in keys follow SQL
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions.rounds import cut
+
 
 def lookup(df: DataFrame, key: str, value) -> DataFrame:
     """Rows of one key; the filter reaches the scan."""
@@ -94,15 +98,50 @@ def violations(measures: DataFrame, rules: list[tuple[str, str, str, float, str]
     return measures.withColumn("v", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull()))).select("path", "metric", "value", "v.rule", "v.severity", "v.threshold")
 
 
-def contains_any(texts: DataFrame, text: str, patterns: DataFrame, pattern: str, shingle: int = 24) -> DataFrame:
-    """Rows of texts with each pattern that stands in them, by an equi join on the pattern's words.
+#: Bytes of patterns that one pass over the texts looks for.
+PATTERN_BYTES = 32 << 20
+
+
+def contains_any(texts: DataFrame, id_col: str, text: str, patterns: DataFrame, pattern: str, ignore_case: bool = False) -> DataFrame:
+    """(id, pattern): each text with each distinct pattern that stands in it, wherever it begins and ends.
 
-    Every pattern's first word of the largest length is its anchor; a text is a candidate if it has
-    the anchor as a word or within one; anchors are matched by words, and patterns that begin or end
-    inside a word are met as their anchor is an inner word.
+    Distinct patterns are counted and go to the tasks in parts of about PATTERN_BYTES, one pass over
+    the texts for each part; a task finds all patterns of a part at once in an automaton, so
+    texts are neither copied nor shuffled. ignore_case folds ASCII letters. A null text or pattern
+    meets nothing; an empty pattern stands in every text.
     """
-    inner = F.slice(F.split(pattern, " "), 2, F.greatest(F.size(F.split(pattern, " ")) - 2, F.lit(1)))
-    anchor = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    p = patterns.withColumn("_anchor", anchor)
-    t = texts.withColumn("_anchor", F.explode(F.array_distinct(F.split(text, " "))))
-    return t.join(p, "_anchor").where(F.contains(F.col(text), F.col(pattern))).drop("_anchor")
+    fold = (lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) if ignore_case else (lambda c: c)
+    distinct = cut(patterns.select(F.col(pattern).cast("string").alias("p"), fold(F.col(pattern).cast("string")).alias("f")).where("p IS NOT NULL").distinct())
+    size = distinct.agg(F.coalesce(F.sum(F.octet_length("f") + 64), F.lit(0))).first()[0]
+    parts = max(1, -(-size // PATTERN_BYTES))
+    kind = dict(texts.dtypes)[id_col]
+    out = None
+    for i in range(parts):
+        forms: dict[str, list[str]] = {}
+        for r in distinct.where(F.pmod(F.xxhash64("f"), F.lit(parts)) == i).collect():
+            forms.setdefault(r["f"], []).append(r["p"])
+        found = texts.select(id_col, fold(F.col(text).cast("string")).alias("_text")).where("_text IS NOT NULL").mapInArrow(_finder(forms), f"`{id_col}` {kind}, pattern string")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _finder(forms: dict[str, list[str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for f in forms:
+            if f:
+                automaton.add_word(f, f)
+        automaton.make_automaton()
+        always = forms.get("", [])
+        for b in batches:
+            at, out = [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                met = {f for _, f in automaton.iter(t)} if len(automaton) else ()
+                own = [*always, *(p for f in met for p in forms[f])]
+                at += [i] * len(own)
+                out += own
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(out, pa.string())], names=[b.schema.names[0], "pattern"])
+
+    return run

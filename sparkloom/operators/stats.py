@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions.rounds import cut
+
 #: Normal quantiles by confidence.
 Z = {0.90: 1.645, 0.95: 1.96, 0.99: 2.576}
 
@@ -57,13 +59,26 @@ def fused(value: Column, confidence: Column) -> tuple[Column, Column]:
     return mean, 1 - F.product(1 - confidence)
 
 
+def nth_smallest(df: DataFrame, x: str, k: int) -> float | None:
+    """The k-th smallest value: values are counted, ranges of values are summed, and only the range that holds the rank is sorted."""
+    one = df.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    ranged = cut(one.repartitionByRange("x").withColumn("_p", F.spark_partition_id()))
+    before = 0
+    for r in ranged.groupBy("_p").agg(F.sum("n").alias("n")).orderBy("_p").collect():  # one row for each range
+        if before + r["n"] >= k:
+            upto = F.sum("n").over(Window.orderBy("x"))
+            return ranged.where(F.col("_p") == r["_p"]).withColumn("upto", upto).where(F.col("upto") >= k - before).agg(F.min("x")).first()[0]
+        before += r["n"]
+    return None
+
+
 def conformal_threshold(df: DataFrame, score: str, alpha: float, least: int = 10) -> DataFrame:
-    """(n, q, tau): the ceil((n + 1)(1 - alpha))-th smallest score and 1 - q within 0.5 and 1; tau is 0.7 below least rows."""
-    n = df.count()
-    k = min(n, math.ceil((n + 1) * (1 - alpha)))
-    q = F.percentile(score, (k - 1) / max(1, n - 1)) if n else F.lit(None).cast("double")
-    tau = F.when(F.lit(n) < least, F.lit(0.7)).otherwise(F.greatest(F.lit(0.5), F.least(F.lit(1.0), 1 - q)))
-    return df.agg(F.lit(n).cast("long").alias("n"), q.alias("q"), tau.alias("tau"))
+    """(n, q, tau): q is the ceil((n + 1)(1 - alpha))-th smallest score, 1 where that rank exceeds n and 0 at rank 0; tau is 1 - q within 0.5 and 1, 0.7 below least rows."""
+    n = df.where(F.col(score).isNotNull()).count()
+    k = math.ceil((n + 1) * (1 - alpha))
+    q = None if not n else 0.0 if k <= 0 else 1.0 if k > n else nth_smallest(df, score, k)
+    tau = 0.7 if n < least else min(1.0, max(0.5, 1 - q))
+    return df.sparkSession.createDataFrame([(n, q, tau)], "n long, q double, tau double")
 
 
 def npv(flow: Column, t: Column, rate: Column) -> Column:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions.rounds import cut
+
 K1, B, PARTIAL = 1.2, 0.75, 0.5
 RRF_K = 60
 
@@ -40,12 +42,13 @@ def fnv1a(data: bytes) -> int:
 
 
 def hashed_embedding(weights: DataFrame, id_col: str, weight: str, size: int = 128) -> DataFrame:
-    """(id, embedding): weights hashed by FNV-1a into size buckets, signed by a high bit, of length 1."""
+    """(id, embedding): weights hashed by FNV-1a into size buckets, negative where hash / size is odd, of length 1."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            h = np.array([fnv1a(t.encode()) for t in b["token"]], np.uint64)
-            sign = np.where(h >> np.uint64(63), -1.0, 1.0)
+            own = b["token"].drop_duplicates()
+            h = b["token"].map(dict(zip(own, (fnv1a(t.encode()) for t in own)))).to_numpy(np.uint64)
+            sign = np.where(h // np.uint64(size) % np.uint64(2), -1.0, 1.0)
             yield pd.DataFrame({id_col: b[id_col], "i": (h % np.uint64(size)).astype(np.int32), "x": sign * b[weight].to_numpy()})
 
     kind = dict(weights.dtypes)[id_col]
@@ -57,34 +60,48 @@ def hashed_embedding(weights: DataFrame, id_col: str, weight: str, size: int = 1
     return d.select(id_col, F.when(n < 1e-10, F.col("v")).otherwise(F.transform("v", lambda x: x / n)).alias("embedding"))
 
 
-def bm25(df: DataFrame, id_col: str, text: str, query: str, average: float | None = None) -> DataFrame:
-    """(id, score) of the rows with a query term; without inverse document frequency.
+#: White space as Unicode has it.
+WHITE = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+
+
+def query_terms(query: str) -> list[str]:
+    return list(dict.fromkeys(query.lower().split()))
+
 
-    A term that stands in the text only within other words counts half an occurrence.
-    Terms are a query's few words, so each is an expression over the row and nothing is shuffled
-    but the average length, where the caller does not state it.
+def term_counts(df: DataFrame, id_col: str, text: str, terms: list[str]) -> DataFrame:
+    """(id, n, tf): words parted by white space, and each term's count among them, or half where it only stands within a word.
+
+    The texts are split once: what is written is numbers, which scores and averages are made from.
     """
-    terms = list(dict.fromkeys(w for w in _query_tokens(query)))
-    d = df.select(id_col, tokens(text).alias("_t"), F.lower(text).alias("_low"))
-    if average is None:
-        average = float(d.agg(F.avg(F.size("_t"))).first()[0] or 1.0)
-    size = F.size("_t").cast("double")
-    score = F.lit(0.0)
-    for term in terms:
-        whole = F.size(F.filter("_t", _equals(term))).cast("double")
-        tf = F.when(whole > 0, whole).when(F.contains("_low", F.lit(term)), F.lit(PARTIAL)).otherwise(F.lit(0.0))
-        score = score + F.when(tf > 0, tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / average))).otherwise(F.lit(0.0))
-    return d.select(id_col, score.alias("score")).where("score > 0")
+    low = df.select(id_col, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low"))
+    split = F.struct(F.array_remove(F.split("low", WHITE), "").alias("w"), F.col("low"))
+    d = low.select(id_col, F.explode(F.array(split)).alias("t")).select(id_col, "t.w", "t.low")  # a generated row is not computed again by each use
+    whole = lambda t: F.size("w") - F.size(F.array_remove("w", t))
+    tf = [F.when(whole(t) > 0, whole(t).cast("double")).when(F.contains("low", F.lit(t)), F.lit(PARTIAL)).otherwise(F.lit(0.0)) for t in terms]
+    return cut(d.select(id_col, F.size("w").alias("n"), F.array(*tf).cast("array<double>").alias("tf")))
+
 
+def bm25_of(counted: DataFrame, id_col: str, average: Column) -> DataFrame:
+    """(id, score) of term_counts() against an average length; without inverse document frequency."""
+    length = K1 * (1 - B + B * F.col("n") / average)
+    score = F.aggregate("tf", F.lit(0.0), lambda a, f: a + F.when(f > 0, f * (K1 + 1) / (f + length)).otherwise(F.lit(0.0)))
+    return counted.select(id_col, F.when(average > 0, score).otherwise(F.lit(0.0)).alias("score"))
 
-def _equals(term: str):
-    return lambda w: w == term
 
+def bm25(df: DataFrame, id_col: str, text: str, query: str, average: float | None = None) -> DataFrame:
+    """(id, score) of the rows with a query term, the average length counted over all rows if it is not given."""
+    counted = term_counts(df, id_col, text, query_terms(query))
+    if average is None:
+        average = float(counted.agg(F.avg("n")).first()[0] or 1.0)
+    return bm25_of(counted, id_col, F.lit(average)).where("score > 0")
 
-def _query_tokens(query: str) -> list[str]:
-    import re
 
-    return [w for w in re.split(r"[^\w]+", query.lower()) if len(w.encode()) >= 2]
+def bm25_bucketed(df: DataFrame, id_col: str, text: str, query: str) -> DataFrame:
+    """(id, bucket, score): the average length is that of the row's bucket: 25 below 50 words, 100 below 200, else 350."""
+    counted = term_counts(df, id_col, text, query_terms(query))
+    average = F.when(F.col("n") < 50, 25.0).when(F.col("n") < 200, 100.0).otherwise(350.0)
+    bucket = F.when(F.col("n") < 50, "short").when(F.col("n") < 200, "medium").otherwise("long")
+    return bm25_of(counted, id_col, average).join(counted.select(id_col, bucket.alias("bucket")), id_col).where("score > 0")
 
 
 def ranked(scores: DataFrame, id_col: str, k: int) -> DataFrame:
@@ -116,19 +133,23 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def duplicate_lines(df: DataFrame, id_col: str, text: str, size: int = 6) -> DataFrame:
-    """(id, lines, duplicated): lines that stand in a block of size lines found at least twice, blocks of a text apart.
+    """(id, lines, duplicated, blocks, ratio) of each text: lines in blocks of size lines that the text repeats.
 
-    Blocks are met by hash of their lines; a block's occurrences in one text count if they do not overlap.
+    Lines count by their words; empty lines and lines of brackets, semicolons and commas alone do
+    not count. A block repeats if it stands twice without overlap, which is where its last place is
+    at least size lines behind its first; then all its places are duplicated.
     """
-    lines = df.select(id_col, F.split(text, "\n").alias("_l"))
-    block = lambda i: F.xxhash64(F.concat_ws("\n", F.slice("_l", i, size)))
-    starts = F.when(F.size("_l") >= size, F.transform(F.sequence(F.lit(1), F.size("_l") - size + 1, F.lit(1)), lambda i: F.struct(i.alias("at"), block(i).alias("h"))))
-    blocks = lines.select(id_col, F.size("_l").alias("lines"), F.explode_outer(starts).alias("b")).select(id_col, "lines", "b.at", "b.h")
-    w = Window.partitionBy(id_col, "h").orderBy("at")
-    apart = blocks.where("h IS NOT NULL").withColumn("_prev", F.lag("at").over(w)).withColumn("_apart", F.coalesce(F.col("at") - F.col("_prev") >= size, F.lit(True)))
-    met = apart.groupBy("h").agg(F.sum(F.col("_apart").cast("long")).alias("n")).where("n >= 2").select("h")
-    hit = blocks.join(met, "h").select(id_col, F.explode(F.sequence(F.col("at"), F.col("at") + size - 1)).alias("line")).distinct().groupBy(id_col).agg(F.count(F.lit(1)).alias("duplicated"))
-    return lines.select(id_col, F.size("_l").alias("lines")).join(hit, id_col, "left").select(id_col, "lines", F.coalesce("duplicated", F.lit(0)).alias("duplicated"))
+    words = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, WHITE, " ")))
+    lines = df.select(id_col, F.explode(F.array(F.struct(F.filter(words, lambda x: ~x.rlike("^[{}()\\[\\];, ]*$")).alias("l")))).alias("t")).select(id_col, "t.l")
+    block = lambda i: F.sha2(F.concat_ws("\n", F.slice("l", i, size)), 256)
+    starts = F.when(F.size("l") >= size, F.transform(F.sequence(F.lit(1), F.size("l") - size + 1), lambda i: F.struct(i.alias("at"), block(i).alias("h"))))
+    blocks = lines.select(id_col, F.explode(starts).alias("b")).select(id_col, "b.at", "b.h")
+    met = blocks.groupBy(id_col, "h").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where(F.col("hi") - F.col("lo") >= size)
+    hit = blocks.join(met.select(id_col, "h"), [id_col, "h"])
+    covered = hit.select(id_col, F.explode(F.sequence("at", F.col("at") + size - 1)).alias("line")).distinct().groupBy(id_col).agg(F.count(F.lit(1)).alias("duplicated"))
+    each = lines.select(id_col, F.size("l").cast("long").alias("lines")).join(covered, id_col, "left").join(met.groupBy(id_col).agg(F.count(F.lit(1)).alias("blocks")), id_col, "left")
+    duplicated = F.coalesce("duplicated", F.lit(0))
+    return each.select(id_col, "lines", duplicated.alias("duplicated"), F.coalesce("blocks", F.lit(0)).alias("blocks"), F.when(F.col("lines") > 0, duplicated / F.col("lines")).otherwise(F.lit(0.0)).alias("ratio"))
 
 
 def inverted_index(df: DataFrame, id_col: str, text: str) -> DataFrame:

@@ -94,9 +94,23 @@ def keyword_hits(spark, d):
     return each(t(spark, d, "documents"), "doc_id", "text", keyword_matches(["the", "then", "License", "idiot"]), "keyword string, start long")
 
 
-@query()
+INTENT_SQL = {
+    "understand": "how|why|what|explain|describe|understand|works",
+    "debug": "fix|bug|error|fail|broken|panic|exception|issue|wrong",
+    "implement": "add|create|build|make|implement|new|write|code",
+    "refactor": "rename|extract|inline|refactor|move|change|simplify|cleanup|restructure",
+    "document": "document|describe|annotate|comment|explain|spec",
+}
+
+
+@query(f"""
+    WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS ws FROM conversations), c AS (SELECT conv_id, turn, {", ".join(f"len(list_filter(ws, lambda x: regexp_matches(x, '{v}'))) AS {k}" for k, v in INTENT_SQL.items())} FROM w),
+         s AS (SELECT *, {" + ".join(INTENT_SQL)} AS total, greatest({", ".join(INTENT_SQL)}) AS n FROM c)
+    SELECT conv_id, turn, CASE WHEN total = 0 OR total - 1 > n THEN 'explore' {" ".join(f"WHEN {k} = n THEN '{k}'" for k in INTENT_SQL)} END AS intent, n,
+           round(CASE WHEN total = 0 THEN 1.0 ELSE greatest(0.3, CASE WHEN total - 1 > n THEN total - 1 ELSE n END / (2 * total - 1)) END, 9) AS confidence FROM s
+""")
 def intents(spark, d):
-    return each(t(spark, d, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), "id", "text", intent, "intent string, n long")
+    return t(spark, d, "conversations").select("conv_id", "turn", intent(F.col("text")).alias("i")).select("conv_id", "turn", "i.intent", "i.n", F.round("i.confidence", 9).alias("confidence"))
 
 
 @query()

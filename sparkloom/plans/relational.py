@@ -164,7 +164,15 @@ def consumer_map(spark, d):
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def theta_contains(spark, d):
     docs, items = t(spark, d, "documents").select("doc_id", "text"), t(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
-    return R.contains_any(docs, "text", items, "item").select("doc_id", "item_id")
+    found = R.contains_any(docs, "doc_id", "text", items, "item")
+    return found.join(items.withColumnRenamed("item", "pattern"), "pattern").select("doc_id", "item_id")
+
+
+@query("SELECT d.doc_id, w.word FROM documents d JOIN (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part UNION SELECT DISTINCT p_type FROM part) w ON contains(lower(d.text), lower(w.word))")
+def theta_words(spark, d):
+    p = t(spark, d, "part")
+    words = p.select(F.explode(F.split("p_name", " ")).alias("word")).unionByName(p.select(F.col("p_type").alias("word")))
+    return R.contains_any(t(spark, d, "documents"), "doc_id", "text", words, "word", ignore_case=True).withColumnRenamed("pattern", "word")
 
 
 @query("SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'en' AND n_chars > 100 AND source LIKE '%src1%' ORDER BY doc_id LIMIT 50")
@@ -397,13 +405,14 @@ def fan_in(spark, d):
     return t(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.countDistinct("l_orderkey").alias("consumers")).orderBy(F.desc("consumers"), "l_partkey", "l_suppkey").limit(30)
 
 
-@query("""
-    SELECT page_id, CASE lower(regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '\\.([^./]+)$', 1)) WHEN 'html' THEN 'html' WHEN 'rs' THEN 'rust' WHEN 'py' THEN 'python' END AS language
-    FROM pages WHERE CASE lower(regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '\\.([^./]+)$', 1)) WHEN 'html' THEN 'html' WHEN 'rs' THEN 'rust' WHEN 'py' THEN 'python' END IS NOT NULL
-""")
+LANGUAGE_SQL = "CASE WHEN e = 'rs' THEN 'rust' WHEN e IN ('py', 'pyi', 'pyw') THEN 'python' WHEN e IN ('ts', 'tsx') THEN 'typescript' WHEN e IN ('js', 'jsx', 'mjs', 'cjs') THEN 'javascript' WHEN e = 'go' THEN 'go' WHEN e IN ('c', 'h') THEN 'c' WHEN e IN ('cpp', 'cc', 'cxx', 'hpp') THEN 'cpp' WHEN e = 'java' THEN 'java' WHEN e = 'rb' THEN 'ruby' WHEN e IN ('sh', 'bash', 'zsh') THEN 'shell' WHEN e = 'sql' THEN 'sql' WHEN e IN ('md', 'markdown') THEN 'markdown' WHEN e = 'toml' THEN 'toml' WHEN e IN ('yaml', 'yml') THEN 'yaml' WHEN e = 'json' THEN 'json' WHEN e = 'html' THEN 'html' WHEN e = 'css' THEN 'css' END"
+EXTENSIONS = "rs py pyi pyw ts tsx js jsx mjs cjs go c h cpp cc cxx hpp java rb sh bash zsh sql md markdown toml yaml yml json html css exe PY".split()
+
+
+@query(f"SELECT p_partkey, {LANGUAGE_SQL} AS language FROM (SELECT p_partkey, [{', '.join(repr(x) for x in EXTENSIONS)}][(p_partkey % {len(EXTENSIONS)})::INT + 1] AS e FROM part)")
 def detect_language(spark, d):
-    path = F.split_part(F.split_part("url", F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1))
-    return t(spark, d, "pages").select("page_id", language(path).alias("language")).where("language IS NOT NULL")
+    extension = F.get(F.array(*map(F.lit, EXTENSIONS)), (F.col("p_partkey") % len(EXTENSIONS)).cast("int"))
+    return t(spark, d, "part").select("p_partkey", language(F.concat(F.lit("src/v1.2/"), F.col("p_name"), F.lit("."), extension)).alias("language"))
 
 
 @query(f"""

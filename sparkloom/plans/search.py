@@ -138,14 +138,22 @@ def tfidf_embedding(spark, d):
     return X.hashed_embedding(w, "doc_id", "tfidf").select("doc_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
-def bm25_sql(query: str, limit: str) -> str:
+SPLIT_SQL = "list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda w: w <> '')"
+
+
+def bm25_sql(query: str, limit: str, average: str = "(SELECT avg(len(ws)) FROM t)") -> str:
     terms = list(dict.fromkeys(query.split()))
     tf = lambda w: f"CASE WHEN len(list_filter(ws, lambda w: w = '{w}')) > 0 THEN len(list_filter(ws, lambda w: w = '{w}'))::DOUBLE WHEN contains(low, '{w}') THEN 0.5 ELSE 0.0 END"
     part = lambda i: f"f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * n / a))"
     return f"""
-    WITH t AS (SELECT doc_id, {TOKENS_SQL} AS ws, lower(text) AS low FROM documents), m AS (SELECT *, len(ws)::DOUBLE AS n, (SELECT avg(len(ws)) FROM t) AS a, {", ".join(f"{tf(w)} AS f{i}" for i, w in enumerate(terms))} FROM t),
-         s AS (SELECT doc_id, {" + ".join(part(i) for i in range(len(terms)))} AS score FROM m)
-    SELECT doc_id, score FROM s WHERE score > 0 ORDER BY round(score, 9) DESC, doc_id {limit}"""
+    WITH t AS (SELECT doc_id, {SPLIT_SQL} AS ws, lower(text) AS low FROM documents), m AS (SELECT *, len(ws)::DOUBLE AS n, {average} AS a, {", ".join(f"{tf(w)} AS f{i}" for i, w in enumerate(terms))} FROM t),
+         s AS (SELECT doc_id, n, {" + ".join(part(i) for i in range(len(terms)))} AS score FROM m)
+    SELECT doc_id, n, score FROM s WHERE score > 0 ORDER BY round(score, 9) DESC, doc_id {limit}"""
+
+
+@query(f"SELECT doc_id, CASE WHEN n < 50 THEN 'short' WHEN n < 200 THEN 'medium' ELSE 'long' END AS bucket, round(score, 6) AS score FROM ({bm25_sql(QUERY, '', 'CASE WHEN len(ws) < 50 THEN 25.0 WHEN len(ws) < 200 THEN 100.0 ELSE 350.0 END')})")
+def bm25_bucket(spark, d):
+    return X.bm25_bucketed(t(spark, d, "documents"), "doc_id", "text", QUERY).select("doc_id", "bucket", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT doc_id, round(score, 6) AS score FROM ({bm25_sql(QUERY, 'LIMIT 20')})")
@@ -186,13 +194,14 @@ def inverted_index(spark, d):
 
 
 @query("""
-    WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), b AS (SELECT doc_id, len(ls) AS lines, unnest(range(1, greatest(len(ls) - 5, 0) + 1)) AS pos, ls FROM l), h AS (SELECT doc_id, pos, array_to_string(list_slice(ls, pos, pos + 5), chr(10)) AS h FROM b),
-         a AS (SELECT *, coalesce(pos - lag(pos) OVER (PARTITION BY doc_id, h ORDER BY pos) >= 6, true) AS apart FROM h), m AS (SELECT h FROM a GROUP BY h HAVING count(*) FILTER (WHERE apart) >= 2),
-         d AS (SELECT doc_id, count(DISTINCT line) AS duplicated FROM (SELECT doc_id, unnest(range(pos, pos + 6)) AS line FROM h JOIN m USING (h)) GROUP BY 1)
-    SELECT l.doc_id, len(ls) AS lines, coalesce(duplicated, 0) AS duplicated FROM l LEFT JOIN d USING (doc_id)
+    WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: NOT regexp_matches(x, '^[{}()\\[\\];, ]*$')) AS ls FROM documents),
+         b AS (SELECT doc_id, unnest(range(1, greatest(len(ls) - 5, 0) + 1)) AS pos, ls FROM l), h AS (SELECT doc_id, pos, array_to_string(list_slice(ls, pos, pos + 5), chr(10)) AS h FROM b),
+         m AS (SELECT doc_id, h FROM h GROUP BY 1, 2 HAVING max(pos) >= min(pos) + 6), c AS (SELECT doc_id, count(*) AS blocks FROM m GROUP BY 1),
+         d AS (SELECT doc_id, count(DISTINCT line) AS duplicated FROM (SELECT doc_id, unnest(range(pos, pos + 6)) AS line FROM h JOIN m USING (doc_id, h)) GROUP BY 1)
+    SELECT l.doc_id, len(ls) AS lines, coalesce(duplicated, 0) AS duplicated, coalesce(blocks, 0) AS blocks, round(CASE WHEN len(ls) > 0 THEN coalesce(duplicated, 0) / len(ls) ELSE 0 END, 9) AS ratio FROM l LEFT JOIN d USING (doc_id) LEFT JOIN c USING (doc_id)
 """)
 def dup_shingles(spark, d):
-    return X.duplicate_lines(t(spark, d, "documents"), "doc_id", "text").withColumn("lines", F.col("lines").cast("long"))
+    return X.duplicate_lines(t(spark, d, "documents"), "doc_id", "text").withColumn("ratio", F.round("ratio", 9))
 
 
 @query("SELECT p_partkey, amount, currency, confidence, start FROM (SELECT p_partkey, round(p_retailprice, 2) AS amount, 'USD' AS currency, CAST(0.95 AS DOUBLE) AS confidence, length(p_name) + 7 AS start FROM part UNION ALL SELECT p_partkey, p_size * 1000000.0::DOUBLE, 'EUR', CAST(0.85 AS DOUBLE), length(p_name) + 7 + length('$' || printf('%.2f', p_retailprice)) + 13 FROM part)")
@@ -202,7 +211,7 @@ def money_amounts(spark, d):
     return found.select("p_partkey", F.round("amount", 2).alias("amount"), "currency", "confidence", "start")
 
 
-@query("SELECT page_id, list_filter(string_split_regex(lower(regexp_replace(regexp_replace(url, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda w: len(w) > 0) AS words FROM pages")
+@query("SELECT page_id, list_filter(string_split_regex(lower(regexp_replace(regexp_replace(url, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '(^|[^A-Za-z0-9])([A-Z]{2,})([A-Z][a-z])', '\\1\\2 \\3', 'g')), '[^a-z0-9]+'), lambda w: len(w) > 0) AS words FROM pages")
 def code_tokens(spark, d):
     return t(spark, d, "pages").select("page_id", code_words("url").alias("words"))
 
@@ -312,7 +321,7 @@ def js(spark, d):
 
 
 @query("""
-    WITH s AS (SELECT abs(quality - least(n_chars / 2000.0, 1)) AS s FROM labels JOIN documents USING (doc_id)), n AS (SELECT count(*) AS n FROM s), k AS (SELECT n, least(n, ceil((n + 1) * 0.9))::BIGINT AS k FROM n), q AS (SELECT n, (SELECT s FROM (SELECT s, row_number() OVER (ORDER BY s) AS i FROM s) WHERE i = k) AS q FROM k)
+    WITH s AS (SELECT abs(quality - least(n_chars / 2000.0, 1)) AS s FROM labels JOIN documents USING (doc_id)), n AS (SELECT count(*) AS n FROM s), k AS (SELECT n, ceil((n + 1) * 0.9)::BIGINT AS k FROM n), q AS (SELECT n, CASE WHEN k > n THEN 1.0 ELSE (SELECT s FROM (SELECT s, row_number() OVER (ORDER BY s) AS i FROM s) WHERE i = k) END AS q FROM k)
     SELECT n, round(q, 6) AS q, round(CASE WHEN n < 10 THEN 0.7 ELSE greatest(0.5, least(1.0, 1 - q)) END, 6) AS tau FROM q
 """)
 def conformal(spark, d):

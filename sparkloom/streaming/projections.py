@@ -45,8 +45,10 @@ def current_postings(parts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fingerprints(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(key, fingerprint): one number for a key's rows, whatever their order; 0 without rows."""
-    return rows.groupBy(key).agg(F.coalesce(F.bit_xor(F.xxhash64(*columns)), F.lit(0)).alias("fingerprint"))
+    """(key, fingerprint): one number for a key's rows, whatever their order; repeats count."""
+    h = F.xxhash64(*columns)
+    several = (F.bit_xor(h), F.sum(h.cast("decimal(38,0)")), F.count(F.lit(1)))  # of these, only xor loses equal rows
+    return rows.groupBy(key).agg(F.xxhash64(*several).alias("fingerprint"))
 
 
 def changed(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

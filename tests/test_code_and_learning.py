@@ -41,7 +41,15 @@ def test_chunks_cover(text):
 def test_matches():
     f = C.keyword_matches(["he", "she", "hers"])
     assert f("uSHErs") == [("she", 1), ("he", 2), ("hers", 2)] and C.keyword_matches([])("x") == []
-    assert C.intent("fix the bug please") == [("debug", 2)] and C.intent("hm") == [("explore", 0)]
+
+
+def test_intent(spark):
+    """One intent; none; two evenly (explore counts both less one); ties; words that only contain a keyword; null."""
+    want = {"fix the bug please": ("debug", 2), "hm": ("explore", 0), "fix bug add new": ("explore", 2), "describe": ("understand", 1), "renamed prefixes": ("debug", 1), None: ("explore", 0)}
+    got = spark.createDataFrame([(k,) for k in want], "t string").select("t", C.intent(F.col("t")).alias("i")).collect()
+    assert {r["t"]: (r["i"]["intent"], r["i"]["n"]) for r in got} == want
+    assert {r["t"]: round(r["i"]["confidence"], 6) for r in got}["hm"] == 1.0
+
     assert C.is_binary(b"a\x00") and not C.is_binary(b"") and not C.is_binary("é\n".encode())
 
 

