@@ -1,20 +1,136 @@
 """Graph operators as joins over edge tables (src, dst); no graph is built on the driver.
 
-Iterations write each round to the shared checkpoint folder, so plans stay short and rounds
-survive lost executors.
+Edges are counted first. Up to LOCAL_EDGES of them are walked by one task, as rounds of joins would
+cost a job for each hop; more of them go by rounds, with the same result. Rounds are written
+to the shared checkpoint folder, so plans stay short and rounds survive lost executors.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.rounds import cut
 
+#: Edges that one task may hold: 16 bytes each and their adjacency.
+LOCAL_EDGES = 1_000_000
+
+
+def small(edges: DataFrame) -> bool:
+    """Whether staged edges of whole-number nodes may go to one task."""
+    whole = all(k in ("tinyint", "smallint", "int", "bigint") for k in (dict(edges.dtypes)["src"], dict(edges.dtypes)["dst"]))
+    return whole and edges.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES
+
+
+def walked(edges: DataFrame, walk: Callable[[np.ndarray, np.ndarray], tuple[list, list]], name: str, kind: str) -> DataFrame:
+    """(node, name) that walk gives for the arrays of all edges' ends, in one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b.to_numpy(np.int64) for b in batches]
+        both = np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)
+        nodes, values = walk(both[:, 0], both[:, 1])
+        yield pd.DataFrame({"node": np.array(nodes, np.int64), name: np.array(values, np.int64)})
+
+    return edges.select("src", "dst").repartition(1).mapInPandas(run, f"node {dict(edges.dtypes)['src']}, {name} {kind}")
+
+
+def neighbours(src: np.ndarray, dst: np.ndarray) -> Callable[[int], list[int]]:
+    """By a node, what its edges lead to."""
+    order = np.argsort(src, kind="stable")
+    keys, first = np.unique(src[order], return_index=True)
+    lists = dict(zip(keys.tolist(), np.split(dst[order], first[1:]))) if len(keys) else {}
+    return lambda n: lists[n].tolist() if n in lists else []
+
+
+def walk_layers(src: np.ndarray, dst: np.ndarray) -> tuple[list, list]:
+    """Nodes by the longest path to them, in the order in which they come free."""
+    to = neighbours(src, dst)
+    waits: dict[int, int] = dict.fromkeys(np.union1d(src, dst).tolist(), 0)
+    for n, k in zip(*np.unique(dst, return_counts=True)):
+        waits[int(n)] = int(k)
+    layer = {n: 0 for n, k in waits.items() if k == 0}
+    todo = list(layer)
+    for n in todo:
+        for m in to(n):
+            waits[m] -= 1
+            if waits[m] == 0:
+                layer[m] = layer[n] + 1  # the last to come free is the farthest, as nodes are taken by layers
+                todo.append(m)
+    return list(layer), list(layer.values())
+
+
+def walk_components(src: np.ndarray, dst: np.ndarray) -> tuple[list, list]:
+    """Nodes of strongly connected components of two or more, with the least node: depth first, without recursion."""
+    to = neighbours(src, dst)
+    index: dict[int, int] = {}
+    low: dict[int, int] = {}
+    stack: list[int] = []
+    on: set[int] = set()
+    nodes, roots = [], []
+    for start in np.unique(src).tolist():
+        if start in index:
+            continue
+        work = [(start, iter(to(start)))]
+        index[start] = low[start] = len(index)
+        stack.append(start)
+        on.add(start)
+        while work:
+            n, rest = work[-1]
+            for m in rest:
+                if m not in index:
+                    index[m] = low[m] = len(index)
+                    stack.append(m)
+                    on.add(m)
+                    work.append((m, iter(to(m))))
+                    break
+                if m in on:
+                    low[n] = min(low[n], index[m])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[n])
+                if low[n] == index[n]:
+                    found = []
+                    while True:
+                        m = stack.pop()
+                        on.discard(m)
+                        found.append(m)
+                        if m == n:
+                            break
+                    if len(found) > 1:
+                        nodes += found
+                        roots += [min(found)] * len(found)
+    return nodes, roots
+
+
+def walk_reach(starts: list[int], depth: int) -> Callable[[np.ndarray, np.ndarray], tuple[list, list]]:
+    def walk(src: np.ndarray, dst: np.ndarray) -> tuple[list, list]:
+        to = neighbours(src, dst)
+        seen = dict.fromkeys(starts, 0)
+        todo = list(seen)
+        for n in todo:
+            if depth and seen[n] >= depth:
+                break
+            for m in to(n):
+                if m not in seen:
+                    seen[m] = seen[n] + 1
+                    todo.append(m)
+        return list(seen), list(seen.values())
+
+    return walk
+
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int = 0) -> DataFrame:
     """(node, distance) of all nodes reached from the starts (node), which have distance 0; depth 0 is unbounded."""
-    e = edges.select("src", "dst").distinct()
+    e = cut(edges.select("src", "dst").distinct())
+    few = starts.select("node").distinct().limit(LOCAL_EDGES + 1)
+    if small(e) and few.count() <= LOCAL_EDGES and dict(starts.dtypes)["node"] in ("int", "bigint"):
+        found = walked(e, walk_reach(sorted(r["node"] for r in few.where("node IS NOT NULL").collect()), depth), "distance", "int")
+        return found.withColumn("node", F.col("node").cast(dict(starts.dtypes)["node"]))
     seen = cut(starts.select("node").distinct().withColumn("distance", F.lit(0)))
     front, hop = seen, 0
     while depth == 0 or hop < depth:
@@ -34,6 +150,9 @@ def blast_radius(edges: DataFrame, origin: DataFrame, depth: int = 0) -> DataFra
 
 def layers(edges: DataFrame) -> DataFrame:
     """(node, layer): the longest path to each node of an acyclic graph; nodes on or behind a cycle have no row."""
+    e = cut(edges.select("src", "dst").distinct())
+    if small(e):
+        return walked(e, walk_layers, "layer", "int")
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
     left_edges, left = cut(edges.where("src != dst").distinct()), cut(nodes.join(edges.where("src = dst").select(F.col("src").alias("node")), "node", "left_anti"))
     done, layer = None, 0
@@ -56,6 +175,8 @@ def strong_components(edges: DataFrame) -> DataFrame:
     found components leave and the rest goes on.
     """
     e = cut(edges.where("src != dst").select("src", "dst").distinct())
+    if small(e):
+        return walked(e, walk_components, "component", dict(e.dtypes)["src"])
     out = None
     while True:
         while True:
@@ -136,3 +257,34 @@ def communities(edges: DataFrame, rounds: int = 10, resolution: float = 1.0) ->
         if not moved and i % 2:
             break
     return state.select("node", "community")
+
+
+def blast_view(edges: DataFrame, origin: DataFrame, depth: int) -> DataFrame:
+    """(kind, a, b, distance): a node row for the origin and each node that depends on it, and a link row for each edge among them."""
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    nodes = cut(reach(back, origin, depth))
+    ends = nodes.select("node")
+    links = edges.select("src", "dst").distinct().join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    none = F.lit(None)
+    return nodes.select(F.lit("node").alias("kind"), F.col("node").alias("a"), none.cast("long").alias("b"), "distance").unionByName(links.select(F.lit("link").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), none.cast("int").alias("distance")))
+
+
+def hyperedges(members: DataFrame, edge: str, node: str) -> DataFrame:
+    """(src, dst): each hyperedge as a node of its own ("edge:" and its name) that leads to its members."""
+    return members.select(F.concat(F.lit("edge:"), F.col(edge).cast("string")).alias("src"), F.col(node).alias("dst")).distinct()
+
+
+def members_of(edges: DataFrame) -> DataFrame:
+    """(edge, node) of hyperedges()."""
+    return edges.where(F.col("src").startswith("edge:")).select(F.substring("src", 6, 1 << 30).cast("long").alias("edge"), F.col("dst").alias("node"))
+
+
+def longest_path(edges: DataFrame) -> DataFrame:
+    """(path): the longest path of an acyclic graph, of equal ones the first by its nodes; nodes on cycles or before them are left out."""
+    e = cut(edges.where("src != dst").select("src", "dst").distinct())
+    height = cut(layers(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    down = e.join(height.select(F.col("node").alias("src"), F.col("layer").alias("a")), "src").join(height.select(F.col("node").alias("dst"), F.col("layer").alias("b")), "dst").where("a = b + 1")
+    step = cut(down.groupBy("src").agg(F.min("dst").alias("dst")))
+    start = height.orderBy(F.desc("layer"), "node").limit(1).select("node")
+    chain = reach(step, start)
+    return chain.agg(F.transform(F.array_sort(F.collect_list(F.struct("distance", "node"))), lambda s: s["node"]).alias("path")).where(F.size("path") > 0)

@@ -156,3 +156,38 @@ def inverted_index(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """(token, id, line, n): lower-cased tokens by 1-based line."""
     lines = df.select(id_col, F.posexplode(F.split(text, "\n")).alias("_i", "_line"))
     return lines.select(id_col, (F.col("_i") + 1).alias("line"), F.explode(tokens("_line")).alias("token")).groupBy("token", id_col, "line").agg(F.count(F.lit(1)).alias("n"))
+
+
+def rrf_decayed(lists: list[tuple[DataFrame, float, int]], id_col: str, decay: float, k: int = RRF_K) -> DataFrame:
+    """rrf() with each list's weight times decay to the power of its age."""
+    return rrf([(d, w * decay**age) for d, w, age in lists], id_col, k)
+
+
+def rrf_normalized(lists: list[DataFrame], id_col: str, k: int = RRF_K) -> DataFrame:
+    """rrf() with even weights that sum to 1."""
+    return rrf([(d, 1.0 / len(lists)) for d in lists], id_col, k)
+
+
+def all_terms(df: DataFrame, columns: list[str], query: str) -> DataFrame:
+    """Rows that have every term of the query, parted at other than word characters, as a word of one of the columns; no terms find nothing."""
+    import re
+
+    terms = [w for w in re.split(r"\W+", query.lower()) if w]
+    words = F.split(F.lower(F.concat_ws(" ", *columns)), "[^\\p{L}\\p{N}_]+")
+    return df.where(reduce(lambda a, t: a & F.array_contains(words, t), terms, F.lit(bool(terms))))
+
+
+def command_states(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, states): FNV-1a of each word, in order."""
+
+    @F.pandas_udf("array<long>")
+    def states(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: np.array([fnv1a(w.encode()) for w in t.split()], np.uint64).view(np.int64).tolist())
+
+    return df.select(id_col, states(F.coalesce(F.col(text), F.lit(""))).alias("states"))
+
+
+def context_before(text: Column, start: Column, size: int = 50) -> Column:
+    """The characters before a place (0-based), at most size of them, without white space around."""
+    lo = F.greatest(start - size, F.lit(0))
+    return F.trim(F.substring(text, (lo + 1).cast("int"), (start - lo).cast("int")))

@@ -7,6 +7,7 @@ of vectors; the corpus is never broadcast or collected.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -92,13 +93,51 @@ def top_k(df: DataFrame, id_col: str, vector: str, query: list[float], k: int, m
     return scored.orderBy(F.desc("score") if larger else F.asc("score"), id_col).limit(max(0, k))
 
 
+#: Query vectors that are collected at once; more of them take further passes over the corpus.
+MAX_QUERIES = 100_000
+
+
+def in_parts(queries: DataFrame) -> list[DataFrame]:
+    """The queries (query_id, vector), counted and parted by hash so that no part has many more than MAX_QUERIES."""
+    parts = max(1, -(-queries.count() // MAX_QUERIES))
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
+
+
 def top_k_batch(queries: DataFrame, df: DataFrame, id_col: str, vector: str, k: int, block: int = 4096) -> DataFrame:
     """(query_id, id, score, rank): the k most similar rows by cosine of each stated query vector.
 
-    The queries are a stated, bounded set (query_id, vector), collected and sent to the tasks in
+    The queries (query_id, vector) are collected in counted parts and sent to the tasks in
     blocks; a task multiplies matrices and keeps k rows of each query, so what is shuffled is k rows
     of each query and task.
     """
+    return reduce(DataFrame.unionByName, [_top_k_of(part, df, id_col, vector, k, block) for part in in_parts(queries)])
+
+
+def similarities(queries: DataFrame, df: DataFrame, id_col: str, vector: str) -> DataFrame:
+    """(query_id, id, score): the cosine of every stated query with every row."""
+
+    def of(part: DataFrame) -> DataFrame:
+        rows = part.collect()
+        ids = np.array([r["query_id"] for r in rows], np.int64)
+        q = np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1)
+        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-10) if len(rows) else 1
+
+        def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for lo in range(0, len(b), 256):
+                    own = b.iloc[lo : lo + 256]
+                    x = np.array(own[vector].tolist(), np.float64)
+                    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-10)
+                    for at in range(0, len(ids), 4096):
+                        some = ids[at : at + 4096]
+                        yield pd.DataFrame({"query_id": np.repeat(some, len(own)), id_col: np.tile(own[id_col].to_numpy(), len(some)), "score": (q[at : at + 4096] @ x.T).reshape(-1)})
+
+        return df.select(id_col, vector).mapInPandas(scores, f"query_id long, {id_col} long, score double")
+
+    return reduce(DataFrame.unionByName, map(of, in_parts(queries)))
+
+
+def _top_k_of(queries: DataFrame, df: DataFrame, id_col: str, vector: str, k: int, block: int) -> DataFrame:
     rows = queries.orderBy("query_id").collect()
     ids = np.array([r["query_id"] for r in rows], np.int64)
     q = np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1)
@@ -222,3 +261,57 @@ def pooled(edges: DataFrame, src: str, dst: str, weight: str, vectors: DataFrame
     j = edges.join(vectors.select(F.col(id_col).alias(dst), F.col(vector).alias("_v")), dst)
     sums = j.select(src, weight, F.posexplode("_v").alias("i", "x")).groupBy(src, "i").agg((F.sum(F.col(weight) * F.col("x")) / F.sum(weight)).alias("x"))
     return sums.groupBy(src).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("pooled"))
+
+
+def added(a: Column, b: Column) -> Column:
+    return _zip(a, b, lambda x, y: x + y)
+
+
+def subtracted(a: Column, b: Column) -> Column:
+    return _zip(a, b, lambda x, y: x - y)
+
+
+def scaled(a: Column, by: float) -> Column:
+    return F.transform(a, lambda x: x.cast("double") * by)
+
+
+def squared_euclidean(a: Column, b: Column) -> Column:
+    return summed(_zip(a, b, lambda x, y: (x - y) * (x - y)))
+
+
+def mat_vec(matrix: DataFrame, row: str, vector: str, by: list[float]) -> DataFrame:
+    """(row, y): a matrix, a row of it in each row, times a vector."""
+    return matrix.select(row, dot(F.col(vector), literal(by)).alias("y"))
+
+
+def with_bias(y: Column, bias: list[float], at: Column) -> Column:
+    """y and the bias of its place."""
+    return y + F.get(literal(bias), at.cast("int"))
+
+
+def outer(a: Column, b: Column) -> Column:
+    """Rows of the outer product."""
+    return F.transform(a, lambda x: F.transform(b, lambda y: x.cast("double") * y.cast("double")))
+
+
+def path_embedding(df: DataFrame, id_col: str, path: str, size: int = 64) -> DataFrame:
+    """(id, embedding): FNV-1a of each segment picks a place, earlier segments weigh more (1, 1/2, ...), of length 1."""
+    from sparkloom.operators.text import fnv1a
+
+    @F.pandas_udf("array<double>")
+    def embed(paths: pd.Series) -> pd.Series:
+        def one(p: str) -> list[float]:
+            v = np.zeros(size)
+            for i, segment in enumerate(p.split("/")):
+                v[fnv1a(segment.encode()) % size] += 1 / (i + 1)
+            return (v / max(np.linalg.norm(v), 1e-10)).tolist()
+
+        return paths.map(one)
+
+    return df.select(id_col, embed(F.coalesce(F.col(path), F.lit(""))).alias("embedding"))
+
+
+def attention(edges: DataFrame, src: str, weight: str) -> DataFrame:
+    """Add share: an edge's part of its source's weight; 0 where that has none."""
+    total = edges.groupBy(src).agg(F.sum(weight).alias("_t"))
+    return edges.join(total, src).withColumn("share", F.when(F.abs("_t") < 1e-12, F.lit(0.0)).otherwise(F.col(weight) / F.col("_t"))).drop("_t")

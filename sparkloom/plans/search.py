@@ -270,6 +270,33 @@ def topo(spark, d):
     return G.layers(nation_edges(spark, d).where("dst = src + 1 OR dst = src + 3"))
 
 
+def order_edges(spark: SparkSession, d: str) -> DataFrame:
+    """A digraph of all order lines: part -> supplier where the quantity is odd, supplier -> part where it is even."""
+    li = t(spark, d, "lineitem")
+    odd = F.col("l_quantity").cast("long") % 2 == 1
+    part, supplier = F.col("l_partkey"), -1 - F.col("l_suppkey")
+    return li.select(F.when(odd, part).otherwise(supplier).alias("src"), F.when(odd, supplier).otherwise(part).alias("dst")).distinct()
+
+
+@query()
+def scc_all(spark, d):
+    return G.strong_components(order_edges(spark, d))
+
+
+@query("SELECT l_orderkey * 10 + l_linenumber AS node, l_linenumber - 1 AS layer FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linenumber) > 1 AND max(l_linenumber) = count(DISTINCT l_linenumber) AND min(l_linenumber) = 1))")
+def topo_all(spark, d):
+    """Chains of all orders' lines, where these are numbered without gaps."""
+    li = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    n = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.max("l_linenumber").alias("hi"), F.min("l_linenumber").alias("lo")).where("n > 1 AND hi = n AND lo = 1").select("l_orderkey")
+    e = li.join(n, "l_orderkey", "left_semi").where("l_linenumber > 1")
+    return G.layers(e.select((F.col("l_orderkey") * 10 + F.col("l_linenumber") - 1).alias("src"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("dst")))
+
+
+@query("WITH RECURSIVE e AS (SELECT DISTINCT CASE WHEN l_quantity::BIGINT % 2 = 1 THEN l_partkey ELSE -1 - l_suppkey END AS src, CASE WHEN l_quantity::BIGINT % 2 = 1 THEN -1 - l_suppkey ELSE l_partkey END AS dst FROM lineitem), r(node, distance) AS (SELECT -1::BIGINT, 0 UNION SELECT e.src, r.distance + 1 FROM r JOIN e ON e.dst = r.node WHERE r.distance < 3) SELECT node, min(distance)::INT AS distance FROM r GROUP BY node HAVING min(distance) > 0")
+def blast_all(spark, d):
+    return G.blast_radius(order_edges(spark, d), spark.range(1).select((F.col("id") - 1).alias("node")), 3)
+
+
 def pair_edges(spark: SparkSession, d: str) -> DataFrame:
     li = t(spark, d, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 40).alias("s")).distinct()
     return li.select("l_orderkey", F.col("s").alias("a")).join(li.select("l_orderkey", F.col("s").alias("b")), "l_orderkey").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("w"))

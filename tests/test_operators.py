@@ -62,6 +62,45 @@ def test_graph_edge_cases(spark):
     assert q == pytest.approx(12 / 13 - 2 * 0.25)
 
 
+def test_rounds_and_one_task_agree(spark, digraph, monkeypatch):
+    _, df = digraph
+    chain = spark.range(30).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    start = spark.createDataFrame([(0,), (3,)], "node long")
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    runs = [lambda: rows(G.reach(df, start)), lambda: rows(G.reach(df, start, 2)), lambda: rows(G.layers(df)), lambda: rows(G.strong_components(df)), lambda: rows(G.layers(chain.limit(4))), lambda: rows(G.longest_path(chain.limit(3)))]
+    local = [f() for f in runs]
+    monkeypatch.setattr(G, "LOCAL_EDGES", 0)
+    assert local == [f() for f in runs]
+    monkeypatch.undo()
+    long = spark.range(1999).select((F.col("id") + 1).alias("src"), F.col("id").alias("dst"))
+    assert G.blast_radius(long, spark.createDataFrame([(0,)], "node long")).count() == 1999
+
+
+def test_collection(spark):
+    from sparkloom.sources.collections import Collection
+
+    c = Collection.create(spark, "v", 2, "euclidean", "tag string")
+    assert c.search([0.0, 0.0], 3).count() == 0
+    c.upsert(spark.createDataFrame([(1, [0.0, 1.0], "a"), (2, [3.0, 4.0], "b"), (3, [0.0, 1.0], "b")], "id long, vector array<double>, tag string"))
+    c.upsert(spark.createDataFrame([(1, [6.0, 8.0], "c")], "id long, vector array<double>, tag string"))
+    assert [(r["id"], r["score"], r["tag"]) for r in c.search([0.0, 0.0], 9).collect()] == [(3, 1.0, "b"), (2, 5.0, "b"), (1, 10.0, "c")]
+    assert [r["id"] for r in c.search([0.0, 0.0], 9, where=F.col("tag") == "b", least=4.0).collect()] == [3]
+    c.delete(spark.createDataFrame([(3,), (9,)], "id long"))
+    assert c.count() == 2
+    with pytest.raises(Exception, match="components"):
+        c.upsert(spark.createDataFrame([(4, [1.0], "x")], "id long, vector array<double>, tag string"))
+    with pytest.raises(ValueError):
+        c.search([1.0], 1)
+
+
+def test_registered_functions(spark):
+    from sparkloom.functions.registry import register
+
+    register(spark)
+    r = spark.sql("SELECT cosine_similarity(array(1D, 0D), array(1D, 1D)) c, cosine_similarity(array(0D), array(1D)) z, irr(array(-100D, 110D)) i, fnv1a('a') f, edit_distance('Abc', 'abd') e, jaccard_similarity(array(), array()) j, euclidean_distance(array(0D, 0D), array(3D, 4D)) d").first()
+    assert r["c"] == pytest.approx(0.5**0.5) and r["z"] == 0 and r["i"] == pytest.approx(0.1) and r["f"] & (2**64 - 1) == X.fnv1a(b"a") and (r["e"], r["j"], r["d"]) == (1, 1.0, 5.0)
+
+
 def test_vectors(spark):
     rnd = np.random.default_rng(1)
     x = rnd.normal(size=(60, 8))
