@@ -97,3 +97,55 @@ def plan_status(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     """(task, status, ready): a pending task is ready when all that it depends on is done. tasks: task, status; deps: task, needs."""
     open_ = deps.join(tasks.select(F.col("task").alias("needs"), "status"), "needs", "left").where(F.coalesce("status", F.lit("")) != "done").select("task").distinct().withColumn("_open", F.lit(True))
     return tasks.join(open_, "task", "left").select("task", "status", ((F.col("status") == "pending") & F.col("_open").isNull()).alias("ready"))
+
+
+def leader_clusters(df: DataFrame, key: str, id_col: str, vector: str, threshold: float, most: int) -> DataFrame:
+    """(key, id, cluster): within a key, in order of id, each vector joins the most similar cluster whose centre is at least threshold away in cosine, else starts one, up to most; later ones without a cluster are left out.
+
+    Centres are normalised means. The rule is sequential, so a key's vectors go to one task; keys run in parallel.
+    """
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(id_col)
+        sums, members, out = [], [], []
+        for i, v in zip(pdf[id_col], pdf[vector]):
+            x = np.asarray(v, float)
+            length = np.linalg.norm(x)
+            score = [float(s @ x / (np.linalg.norm(s) * length)) if length and np.linalg.norm(s) else 0.0 for s in sums]
+            best = int(np.argmax(score)) if score else -1
+            if best >= 0 and score[best] >= threshold:
+                sums[best] = sums[best] + x
+                members[best] += 1
+            elif len(sums) < most:
+                best = len(sums)
+                sums.append(x)
+                members.append(1)
+            else:
+                continue
+            out.append((pdf[key].iloc[0], i, best))
+        return pd.DataFrame(out, columns=[key, id_col, "cluster"])
+
+    kinds = dict(df.dtypes)
+    return df.select(key, id_col, vector).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {id_col} {kinds[id_col]}, cluster int")
+
+
+def merged_patterns(patterns: list[tuple[str, set[str]]], threshold: float) -> list[tuple[list[str], set[str]]]:
+    """Patterns in order, each merged into the first group whose tags, united so far, have a Jaccard similarity of threshold or more."""
+    out: list[tuple[list[str], set[str]]] = []
+    for name, tags in patterns:
+        for names, own in out:
+            union = own | tags
+            if (len(own & tags) / len(union) if union else 1.0) >= threshold:
+                names.append(name)
+                own |= tags
+                break
+        else:
+            out.append(([name], set(tags)))
+    return out
+
+
+def transferred(own: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], similarity: float, most: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """An arm's inverse and reward vector blended with another's by similarity times the greatest blend."""
+    w = min(1.0, max(0.0, similarity)) * most
+    return (1 - w) * own[0] + w * other[0], (1 - w) * own[1] + w * other[1]

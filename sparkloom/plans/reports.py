@@ -514,3 +514,34 @@ def sql_functions(spark, d):
     register(spark)
     t(spark, d, "supplier").createOrReplaceTempView("_supplier")
     return spark.sql("SELECT s_suppkey, round(wilson_lower(70, 100), 9) AS wilson, round(100 * half_life(s_nationkey, 7), 9) AS halved, round(npv(array(-1000, 400, 900), 0.1), 6) AS npv FROM _supplier")
+
+
+@query()
+def leader_clusters(spark, d):
+    from sparkloom.operators.learning import leader_clusters as clusters
+
+    return clusters(t(spark, d, "embeddings"), "label", "vec_id", "embedding", 0.1, 20)
+
+
+@query("SELECT s_suppkey, s_nationkey + 4000 AS srid, 'POINT (' || s_suppkey || ' ' || (s_nationkey + 0.5) || ')' AS wkt FROM supplier")
+def geometries(spark, d):
+    from sparkloom.functions.geometry import from_ewkb, point_ewkb
+
+    s = t(spark, d, "supplier").withColumn("g", point_ewkb(F.col("s_suppkey"), F.col("s_nationkey") + 0.5, F.col("s_nationkey") + 4000))
+    return s.select("s_suppkey", from_ewkb(F.col("g")).alias("r")).select("s_suppkey", "r.srid", "r.wkt")
+
+
+@query("SELECT l_orderkey AS file, count(*) AS symbols FROM lineitem GROUP BY 1")
+def symbol_index(spark, d):
+    from sparkloom.sources.files import symbol_documents
+
+    li = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_partkey").cast("string").alias("name"), F.col("l_returnflag").alias("kind"), F.col("l_linenumber").alias("line"))
+    return symbol_documents(li, "file", "name", "kind", "line").select("file", F.expr("json_array_length(document)").cast("long").alias("symbols"))
+
+
+@query("SELECT user_id AS id, CAST(NULL AS VARCHAR) AS command, event_type AS command_short, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS success FROM events")
+def migrated_log(spark, d):
+    from sparkloom.sources.tables import migrated
+
+    old = t(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("command_short"), (F.col("event_type") != "error").cast("long").alias("success"), "props")
+    return migrated(old, "bash_outcomes").select("id", "command", "command_short", "success")

@@ -44,3 +44,20 @@ def latest(spark: SparkSession, folder: str, pattern: str = r"(\d+)") -> DataFra
     files = spark.read.text(folder, wholetext=True).withColumn("path", F.input_file_name())
     stamp = F.regexp_extract(F.element_at(F.split("path", "/"), -1), pattern, 1).cast("long")
     return files.withColumn("stamp", stamp).orderBy(F.desc("stamp"), "path").limit(1).select("path", "stamp", "value")
+
+
+def list_dir(paths: DataFrame, folder: str) -> DataFrame:
+    """Paths below a folder, at any depth."""
+    return paths.where(F.startswith("path", F.lit(folder.rstrip("/") + "/")))
+
+
+def load_all(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """(path, value): every JSON file of a folder parsed with the schema; what does not parse has a null value."""
+    files = spark.read.text(folder, wholetext=True).withColumn("path", F.input_file_name())
+    return files.select("path", F.from_json("value", schema).alias("value"))
+
+
+def symbol_documents(symbols: DataFrame, file: str, name: str, kind: str, line: str) -> DataFrame:
+    """(file, document): each file's symbols as one JSON text, in order of line and name; a file's symbols fit a row."""
+    one = F.struct(F.col(line).alias("line"), F.col(name).alias("name"), F.col(kind).alias("kind"))
+    return symbols.groupBy(file).agg(F.to_json(F.array_sort(F.collect_list(one))).alias("document"))
