@@ -22,9 +22,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where unset, as in tests, a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir; where unset, a temporary one in local mode, as in tests, and an error on a cluster."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -43,18 +45,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession, path: str) -> None:
-    """Delete a folder that new_path named."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p, True)
+def buckets_for(rows: int) -> int:
+    """Buckets to number so many rows in: about a million rows each, 256 at least."""
+    return max(256, -(-rows // 1_000_000))
 
 
 def bucket_of(uid: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(uid), F.lit(buckets)).cast("int")
 
 
-def numbered(df: DataFrame, keys: list[str], uid: str, out: str, buckets: int = 256) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], uid: str, out: str, buckets: int) -> DataFrame:
     """Add out: numbers 0, 1, ... without gaps among rows of equal keys, fixed by uid (unique in each key).
 
     A key's rows are dealt over buckets by uid and numbered there; the buckets' counts,

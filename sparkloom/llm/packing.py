@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, id_and_bytes, numbered, stage
+from .common import arrow_rows, buckets_for, id_and_bytes, numbered, stage
 from .words import encoder
 
 LENGTH = 4096
@@ -113,7 +113,8 @@ def places(patterns: list[tuple[int, list[tuple[int, int]]]]) -> tuple[dict[int,
 def pack(docs: DataFrame, path: str, limit: int = LENGTH, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     cut = stage(pieces(docs, path, end_id, limit, id_col, text_col), "pieces").withColumn("uid", F.struct("row", "start"))
-    histogram = {r["length"]: r["n"] for r in cut.where(F.col("length") < limit).groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # below limit entries
+    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most limit entries
+    histogram = {x: n for x, n in counts.items() if x < limit}
     table, packed = places(shortest_pack_first(histogram, limit))
     table[limit] = np.array([[0, 1, packed, 0]], np.int64)
 
@@ -131,5 +132,5 @@ def pack(docs: DataFrame, path: str, limit: int = LENGTH, end_id: int = 2, id_co
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
 
     kept = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    ranked = numbered(cut, ["length"], "uid", "rank")
+    ranked = numbered(cut, ["length"], "uid", "rank", buckets_for(sum(counts.values())))
     return ranked.select(*kept, "rank").mapInArrow(place, ", ".join(f"{c} long" for c in [*kept, "sequence_id", "offset"]))

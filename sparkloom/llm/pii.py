@@ -299,12 +299,12 @@ def masked_rows(docs: DataFrame, accepted: DataFrame) -> DataFrame:
 
 
 def masked_by_join(docs: DataFrame) -> DataFrame:
-    keyed = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "unmasked")
-    spans = find_pii(keyed.select("_row", "text"), id_col="_row").where(F.size("spans") > 0).select(F.col("doc_id").alias("_row"), F.col("spans").alias("_spans"))
+    keyed = stage(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "unmasked")  # the columns keep their names apart
+    spans = find_pii(keyed.select("row", F.col("doc.text").alias("text")), id_col="row").where(F.size("spans") > 0).select(F.col("doc_id").alias("row"), "spans")
 
     @F.pandas_udf("string")
     def replaced(text: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or s is None else masked(t, [(x["kind"], x["start"], x["end"]) for x in s]) for t, s in zip(text, found)], dtype=object)
 
-    hit = keyed.join(spans, "_row", "left")
-    return with_text(hit, replaced("text", "_spans")).select(*docs.columns)
+    hit = keyed.join(spans, "row", "left").select(F.col("doc").withField("text", replaced("doc.text", "spans")).alias("doc"))
+    return with_text(hit.select("doc.*"), F.col("text"))

@@ -16,7 +16,7 @@ from sparkloom.llm.token_files import token_ids
 from sparkloom.llm.toxicity import toxicity
 
 BYTES, WORDS = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
-CLASH = ["row", "grp", "fp", "key", "digest", "unit", "bucket", "part", "label", "_b", "_r", "n", "rank", "shard", "score", "kept", "_gone", "good"]
+CLASH = ["row", "grp", "fp", "key", "digest", "unit", "bucket", "part", "label", "_b", "_r", "n", "rank", "shard", "score", "kept", "_gone", "good", "_row", "_spans", "spans", "doc", "_many", "_id", "_name", "r", "id", "name"]
 
 
 @pytest.fixture(scope="module")

@@ -1,8 +1,12 @@
+import hashlib
 import random
 import zlib
 from collections import Counter
 
-from sparkloom.llm.sharding import shard_documents
+import xxhash
+
+from sparkloom.llm.common import buckets_for, stage
+from sparkloom.llm.sharding import SETTLED, propagate, shard_documents
 
 
 def test_rows_law_and_links(docs):
@@ -39,3 +43,48 @@ def test_same_result_twice(docs):
     d = docs(["a"] * 20 + [str(i) for i in range(30)])
     once, again = (sorted(map(tuple, shard_documents(d).collect()), key=str) for _ in range(2))
     assert once == again
+
+
+def plain_rounds(state, quotas):
+    """The rounds over a dict of counts by (group, shard)."""
+    members, buckets = Counter(), buckets_for(sum(quotas))
+    for (g, _), n in state.items():
+        members[g] += n
+    turn = {g: ((m.bit_length() - 1) * buckets + xxhash.xxh64_intdigest(g, 42) % buckets, g) for g, m in members.items()}
+    while True:
+        free = [q - sum(n for (_, s), n in state.items() if s == k) for k, q in enumerate(quotas)]
+        best = {}
+        for (g, s), n in state.items():
+            if free[s] > 0:
+                best[g] = max(best.get(g, (0, -99)), (n, -s))
+        moves, ahead = [], Counter()
+        for (g, s), n in sorted(state.items(), key=lambda x: (*turn[x[0][0]], x[0][1])):
+            most, to = best.get(g, (0, 0))
+            if most > n or most == n and -to < s:
+                moves.append((g, s, -to, min(n, free[-to] - ahead[-to])))
+                ahead[-to] += n
+        moves = [m for m in moves if m[3] > 0]
+        for g, s, to, n in moves:
+            state[g, s] -= n
+            state[g, to] += n
+        state = Counter({k: n for k, n in state.items() if n})
+        if sum(m[3] for m in moves) * SETTLED <= sum(members.values()):
+            return state
+
+
+def test_rounds_against_counts(spark):
+    """Groups of all sizes, one of them over ten shards' quotas, until hardly any can move."""
+    rnd = random.Random(5)
+    start = Counter()
+    for i in range(60):
+        g = hashlib.sha256(str(i).encode()).digest()
+        for _ in range(1400 if i == 0 else rnd.choice((2, 2, 3, 5, 40))):
+            start[g, rnd.randrange(16)] += 1
+    total = sum(start.values())
+    quotas = [total // 16 + 400] * 16
+    size = Counter()
+    for (g, _), n in start.items():
+        size[g] += n
+    rows = [(bytearray(g), size[g], s, n) for (g, s), n in start.items()]
+    got = propagate(stage(spark.createDataFrame(rows, "grp binary, members long, shard int, n long"), "start"), quotas)
+    assert {(bytes(r["grp"]), r["shard"]): r["n"] for r in got.collect()} == plain_rounds(start, quotas)
