@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +18,30 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 2048, 6 << 20
 
 
+#: What operators keep in a worker process from task to task.
+_KEPT: list[dict] = []
+
+
+def kept(cache: dict) -> dict:
+    """A cache of a worker process that outlives tasks; let_go empties it."""
+    _KEPT.append(cache)
+    return cache
+
+
+def let_go() -> None:
+    """In a task that needs none of the kept caches: give their memory back. Workers go from one operator's tasks to another's."""
+    held = [c for c in _KEPT if c]
+    if not held:
+        return
+    for c in held:
+        c.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the folder, by any path that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

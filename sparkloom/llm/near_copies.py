@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bounded, first_of, id_and_bytes, keep_rows, key_of, stage, texts_of
+from .common import arrow_rows, bounded, first_of, id_and_bytes, keep_rows, key_of, let_go, stage, texts_of
 from .components import components
 
 SEED, SIZE, LEAST = 42, 5, 0.8
@@ -69,6 +69,7 @@ def marked(docs: DataFrame) -> DataFrame:
     """(row, doc_id, name, fp, keys): the node and band keys of each document; row numbers hold once this is written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in arrow_rows(batches):
             sets = [shingles(t) for t in texts_of(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("name"), pa.array(map(node, sets), pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))], names=["row", "doc_id", "name", "fp", "keys"])
@@ -82,6 +83,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     ids = bounded(stage(wanted.select("doc_id").distinct(), "sampled"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in arrow_rows(batches):
             sets = [shingles(t) for t in texts_of(b, "text")]
             yield pa.RecordBatch.from_arrays([pa.array(map(node, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "own"])

@@ -30,12 +30,11 @@ from dataclasses import dataclass, field
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, stage
+from .common import arrow_rows, let_go, stage
 
 DECAY = 0.7
 SIZES = (8, 12, 16, 26)
@@ -310,6 +309,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return nothing_learned(n_pos, n_neg)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in arrow_rows(batches):
             pos, neg = Counter(), Counter()
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
@@ -368,6 +368,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The kept columns (of type long or int) with highest and score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         own = Model(model.weights, model.bias, model.curve)
         a, c = own.curve
         for b in arrow_rows(batches):
@@ -390,10 +391,13 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents not predicted toxic, with their columns; decided row by row, without a join."""
     model = train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels)
 
-    @F.pandas_udf("double")
-    def value(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def value(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        let_go()
         own = Model(model.weights, model.bias, model.curve)
         for texts in batches:
-            yield pd.Series(own.score(texts.fillna("").tolist()))
+            parts = arrow_rows([pa.RecordBatch.from_arrays([texts], names=["text"])])
+            scores = [own.score(b.column("text").to_pylist()) for b in parts]
+            yield pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
 
     return docs.where(value(F.coalesce("text", F.lit(""))) < THRESHOLD)

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from sparkloom.llm import common, words
 from sparkloom.llm import near_copies as N
 
 
@@ -58,5 +59,15 @@ def test_stage_drops_planted_near_copies(spark, docs):
     assert {r["doc_id"]: r["component_id"] for r in N.near_copies(docs(texts)).collect()} == dict(enumerate(want))
 
 
+def test_other_operators_caches_are_let_go():
+    """A worker that encoded texts gives its encoder up in a task of this operator."""
+    import public_tokenizers
+
+    words.encoder(public_tokenizers.path("word_bpe_49k.json")).encode(["some words"])
+    assert words._ENCODERS
+    common.let_go()
+    assert not words._ENCODERS
+
+
 def test_empty_table(docs):
     assert N.near_copies(docs([])).count() == 0
