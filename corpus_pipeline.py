@@ -34,7 +34,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: 5-word shingles, similarity 0.8."""
+    """One document of each group of near copies: 5-word shingles of similarity 0.8, candidates by op7's fuzzy hash and MinHash."""
     return keep_one(docs)
 
 

@@ -1,8 +1,9 @@
-"""Near copies by exact Jaccard similarity of word shingles; MinHash bands name the candidates.
+"""Near copies by exact Jaccard similarity of word shingles; op7's Golay-code fuzzy hashing and MinHash bands name the candidates.
 
 A text is the set of its 5-word shingles (ASCII lower case; fewer words are one shingle), as
-64-bit hashes. Equal sets are one node. BANDS keys of ROWS minima each make candidates of sets
-that share a key: a pair of similarity 0.8 shares none with probability (1 - 0.8^5)^24 = 7e-5.
+64-bit hashes. Equal sets are one node. The groups of op7 (3-word fingerprints that links of at most 2 bits
+connect) are the first keys. Few copies that differ in a word here and there are that close, so BANDS
+more keys of ROWS minima each follow: a pair of similarity 0.8 shares none with probability (1 - 0.8^5)^24 = 7e-5.
 A candidate pair is a link if its sets' similarity, counted and not estimated, is at least LEAST.
 
 Sets that share a key are compared in blocks of at most BLOCK sets and BLOCK_BYTES, by products
@@ -26,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import arrow_rows, bounded, first_of, id_and_bytes, keep_rows, key_of, let_go, stage, texts_of
 from .components import components
 
@@ -66,16 +68,26 @@ def band_keys(own: np.ndarray) -> list[int]:
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, name, fp, keys): the node and band keys of each document; row numbers hold once this is written."""
+    """(row, doc_id, name, fp, keys, print): the node, band keys and op7's fingerprint of each document; row numbers hold once this is written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for b in arrow_rows(batches):
-            sets = [shingles(t) for t in texts_of(b, "text")]
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("name"), pa.array(map(node, sets), pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))], names=["row", "doc_id", "name", "fp", "keys"])
+            texts = texts_of(b, "text")
+            sets = list(map(shingles, texts))
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("name"), pa.array(map(node, sets), pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64())), pa.array(map(simhash.fingerprint, texts), pa.int64())], names=["row", "doc_id", "name", "fp", "keys", "print"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), key_of(F.col("text")).alias("name"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, name struct<a:long,b:long>, fp long, keys array<long>")
+    return rows.mapInArrow(run, "row long, doc_id long, name struct<a:long,b:long>, fp long, keys array<long>, print long")
+
+
+def fuzzy(prints: DataFrame) -> DataFrame:
+    """(key, fp): op7's groups, connected by fingerprints at most 2 bits apart, that have several sets; prints: staged, distinct (fp, print)."""
+    found = components(simhash.links(simhash.candidates(prints.select(F.col("print").alias("fp")).distinct())))
+    found = found.select(F.col("node").alias("print"), F.col("root").alias("_to"))
+    of = stage(prints.join(found, "print", "left").select("fp", F.coalesce("_to", "print").alias("of")).distinct(), "fuzzy")
+    several = of.groupBy("of").count().where("count > 1").select("of")
+    return of.join(several, "of").select(F.xxhash64(F.lit("fuzzy"), "of").alias("key"), "fp")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -189,7 +201,8 @@ def decided(docs: DataFrame) -> DataFrame:
     points = stage(rows.groupBy("fp").agg(first_of().alias("first"), F.first("keys").alias("keys")), "sets")
     keyed = points.select("fp", F.explode("keys").alias("key"))
     met = keyed.groupBy("key").count().where("count > 1").select("key")  # a set has a key once
-    keyed = stage(keyed.join(met, "key").select("key", "fp"), "keyed")
+    near = fuzzy(stage(rows.select("fp", "print").distinct(), "prints"))
+    keyed = stage(keyed.join(met, "key").select("key", "fp").unionByName(near), "keyed")
     some = stage(points.join(keyed.select("fp").distinct(), "fp", "left_semi").select("first.doc_id", "fp"), "wanted")
     found = components(links(keyed, stage(sets_of(docs, some), "shingles")))
     rooted = stage(points.select("fp", "first").join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")

@@ -1,7 +1,9 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from sparkloom.llm import common, words
+from sparkloom.llm import common, simhash, words
 from sparkloom.llm import near_copies as N
 
 
@@ -59,6 +61,25 @@ def test_stage_drops_planted_near_copies(spark, docs):
     assert {r["doc_id"]: r["component_id"] for r in N.near_copies(docs(texts)).collect()} == dict(enumerate(want))
 
 
+def test_fuzzy_hash_names_candidates(monkeypatch, docs):
+    """Where no two sets share a MinHash key, those that op7 groups are compared still."""
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("aeiourstln") for _ in range(6))
+    texts = []
+    for _ in range(30):
+        base = [word() for _ in range(300)]
+        texts += [" ".join(base), " ".join([*base[:-1], word()])]
+    phrase = [word() for _ in range(11)]
+    texts += [" ".join(phrase * 60 + [word() for _ in range(30)]) for _ in range(2)]  # close fingerprints, other sets
+    prints = [simhash.fingerprint(t.encode()) & (2**64 - 1) for t in texts]
+    close = [bin(prints[i] ^ prints[i + 1]).count("1") <= 2 for i in range(0, 62, 2)]
+    assert sum(close[:30]) > 10 and close[30]
+    want = {i: i - i % 2 if i < 60 and close[i // 2] else i for i in range(62)}
+    marked = N.marked
+    monkeypatch.setattr(N, "marked", lambda d: marked(d).withColumn("keys", F.array("fp")))
+    assert {r["doc_id"]: r["component_id"] for r in N.near_copies(docs(texts)).collect()} == want
+
+
 def test_other_operators_caches_are_let_go():
     """A worker that encoded texts gives its encoder up in a task of this operator."""
     import public_tokenizers
