@@ -1,8 +1,8 @@
 """Quality rules: plain counts, then a hashed n-gram log-likelihood ratio.
 
 Words and word pairs, lower-cased in ASCII, are hashed to BUCKETS buckets. Two multinomials over the buckets are
-counted: the raw corpus over all documents, the trusted target over those with label quality
-1, at most MAX_TRUSTED of them; both are smoothed by adding SMOOTH of a count to each bucket. A text's value is the sum of
+counted: the raw corpus over all documents, the trusted target over all those with label quality
+1; both are smoothed by adding SMOOTH of a count to each bucket. A text's value is the sum of
 log target / raw over its n-grams, divided by their number. A document is kept if it passes
 the base rules and its value is at least THRESHOLD, always, without any draw.
 
@@ -21,13 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, id_and_bytes, texts_of
+from .common import arrow_rows, id_and_bytes, kept, stage, texts_of
 
 BUCKETS = 1 << 15
 SMOOTH = 0.5
 THRESHOLD = -0.15
-#: Labelled rows that the target is fit on, at most; 8 bytes each are broadcast.
-MAX_TRUSTED = 100_000
+#: Trusted ids that are broadcast at once, 8 bytes each; more of them take further passes over the documents.
+MAX_TRUSTED = 500_000
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 CACHE_WORDS = 500_000
 TAILS = bytes(range(0x80, 0xC0))
@@ -43,7 +43,7 @@ class Hashes(dict):
         return h
 
 
-_HASHES = Hashes()
+_HASHES = kept(Hashes())
 
 
 def grams(words: list[bytes]) -> np.ndarray:
@@ -95,21 +95,28 @@ def base(text: bytes) -> tuple[list[bytes], tuple[int, int, int, int, int]]:
 NOT_SYMBOLS = bytes(b for b in range(256) if b not in b"#*$%&|<>")
 
 
-def counts(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
-    """Two rows of n-gram counts by bucket: the raw corpus and the trusted target. BUCKETS long, whatever the corpus."""
+def counts(docs: DataFrame, trusted: list[DataFrame]) -> np.ndarray:
+    """Two rows of n-gram counts by bucket: the raw corpus and the trusted target. BUCKETS long, whatever the corpus.
 
+    trusted: parts of the trusted ids. The first part's pass counts the raw corpus too, each further one its documents alone.
+    """
+    return sum(_counted(docs, part, i == 0) for i, part in enumerate(trusted))
+
+
+def _counted(docs: DataFrame, trusted: DataFrame, raw: bool) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS), np.int64)
         for b in arrow_rows(batches):
             for text, good in zip(texts_of(b, "text"), b.column("good").to_pylist()):
                 n = np.bincount(grams(text.lower().split()), minlength=BUCKETS)
-                total[0] += n
+                if raw:
+                    total[0] += n
                 if good:
                     total[1] += n
-        found = np.flatnonzero(total[0])
+        found = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[0][found]), pa.array(total[1][found])], names=["bucket", "raw", "good"])
 
-    marked = docs.join(trusted, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    marked = docs.join(trusted, "doc_id", "left" if raw else "inner").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     found = marked.mapInArrow(run, "bucket int, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()
     out = np.zeros((2, BUCKETS), np.int64)
     out[:, found["bucket"].to_numpy(np.int64)] = found[["raw", "good"]].to_numpy(np.int64).T
@@ -124,10 +131,12 @@ def ratios(n: np.ndarray) -> np.ndarray:
     return np.log(p[1]) - np.log(p[0])
 
 
-def trusted_of(labels: DataFrame) -> DataFrame:
-    """At most MAX_TRUSTED trusted ids, the lowest by hash: a bounded table, which may be broadcast."""
+def trusted_of(labels: DataFrame) -> list[DataFrame]:
+    """All trusted ids, counted and parted by hash so that no part has many more than MAX_TRUSTED; each part is broadcast."""
     ids = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    return F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRUSTED).withColumn("good", F.lit(True)))
+    ids = stage(ids, "trusted")
+    parts = max(1, -(-ids.count() // MAX_TRUSTED))
+    return [F.broadcast(ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == i).withColumn("good", F.lit(True))) for i in range(parts)]
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -65,3 +65,16 @@ def test_no_trusted_and_empty(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert [r["kept"] for r in Q.quality(docs([" ".join(map(str, range(30)))]), none).collect()] == [True]
     assert Q.quality(docs([]), none).count() == 0
+
+
+def test_all_trusted_rows_count(spark, docs, monkeypatch):
+    """More trusted ids than are broadcast at once: the target is counted over all of them."""
+    rnd = random.Random(4)
+    texts = [made(rnd) for _ in range(90)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(90)] + [(1, 1)], "doc_id long, quality int")
+    rows = lambda: {r["doc_id"]: r["llr"] for r in Q.quality(docs(texts), labels).collect()}
+    want = rows()
+    monkeypatch.setattr(Q, "MAX_TRUSTED", 7)
+    assert rows() == want
+    good = Q.counts(Q.id_and_bytes(docs(texts)), Q.trusted_of(labels))
+    assert good[1].sum() == sum(len(plain_grams(t)) for i, t in enumerate(texts) if i % 3) and good[0].sum() == sum(len(plain_grams(t)) for t in texts)
